@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe
+from lumenframe.llm import bpe, quality, sharding
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_quality": quality.op3_quality,
+    "op4_sharding": sharding.op4_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality": quality.OP3_SQL,
+}
