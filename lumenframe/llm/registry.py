@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, quality, sharding
+from lumenframe.llm import bpe, quality, sharding, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
