@@ -28,7 +28,7 @@ from lumenframe.llm.common import read
 #: The pieces of byte-level pre-tokenisation, as published with the vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters in a section of a long text, and pieces whose ids are remembered.
-SECTION, REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 1 << 17, 48
+SECTION, REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 1 << 18, 48
 
 
 def byte_characters() -> dict[int, str]:
@@ -38,6 +38,22 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+class Remembered(dict):
+    """For each piece (ids, the ids in decimals, the bytes they stand for); pieces met often are merged once."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
+        made = self.codec.described(self.codec.merge(piece))
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = made
+        return made
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -50,50 +66,47 @@ class Codec:
         self.first = [self.vocab[chars[b]] for b in range(256)]
         # a character that stands for no byte is kept as it is
         self.strings = {i: b"".join(bytes([back[c]]) if c in back else c.encode() for c in s) for i, s in names.items()}
-        self.decimal = {i: str(i) for i in names}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(spec["merges"]):
-            self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: rank for rank, (a, b) in enumerate(spec["merges"])}
+        self.made = [self.vocab[a + b] for a, b in spec["merges"]]
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile(r"(?<=\S)(?= \S)")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(self)
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece: the lowest rank, and of equal ranks the leftmost, is merged first."""
-        ids = [self.first[b] for b in piece.encode("utf-8")]
+        first, ranks, made = self.first, self.ranks.get, self.made
+        ids = [first[b] for b in piece.encode("utf-8")]
         n = len(ids)
-        if n < 2:
-            return tuple(ids)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        pairs, queue = self.pairs, []
-        for i in range(n - 1):
-            if found := pairs.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
+        if n == 1:
+            return (ids[0],)
+        now = [ranks(a << 20 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # rank of the pair that begins at i
+        queue = [rank << 32 | i for i, rank in enumerate(now) if rank >= 0]
+        now.append(-1)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, made = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            if now[i] != rank:
+                continue  # stale: one of the two symbols has been merged since
             j = right[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue  # stale: a neighbour has been merged since
-            ids[i], ids[j] = made, -1
+            symbol = ids[i] = made[rank]
+            ids[j] = now[j] = -1
             k = right[i] = right[j]
-            if k >= 0:
+            if k < n:
                 left[k] = i
-                if found := pairs.get((made, ids[k])):
-                    heapq.heappush(queue, (found[0], i, made, ids[k], found[1]))
+                rank = now[i] = ranks(symbol << 20 | ids[k], -1)
+                if rank >= 0:
+                    heapq.heappush(queue, rank << 32 | i)
+            else:
+                now[i] = -1
             h = left[i]
-            if h >= 0 and (found := pairs.get((ids[h], made))):
-                heapq.heappush(queue, (found[0], h, ids[h], made, found[1]))
-        return tuple(x for x in ids if x >= 0)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.merge(piece)
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+            if h >= 0:
+                rank = now[h] = ranks(ids[h] << 20 | symbol, -1)
+                if rank >= 0:
+                    heapq.heappush(queue, rank << 32 | h)
+        return tuple([x for x in ids if x >= 0])
 
     def sections(self, text: str) -> Iterator[str]:
         at = 0
@@ -105,21 +118,21 @@ class Codec:
             at = found.start()
         yield text[at:] if at else text
 
-    def encode_parts(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, a section at a time."""
+    def described(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
+        return ids, ",".join([str(i) for i in ids]), b"".join([self.strings[i] for i in ids])
+
+    def encode_parts(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """The pieces of a text as `described`, a section at a time."""
         for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
-                yield [self.special[part]]
+                yield [self.described((self.special[part],))]
                 continue
             for section in self.sections(part):
-                ids: list[int] = []
-                known, add = self.known.get, ids.extend
-                for piece in self.pieces.findall(section):
-                    add(known(piece) or self._piece(piece))
-                yield ids
+                if pieces := self.pieces.findall(section):
+                    yield list(map(self.known.__getitem__, pieces))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in self.encode_parts(text or "") for i in part]
+        return [i for part in self.encode_parts(text or "") for ids, _, _ in part for i in ids]
 
     def decode(self, ids) -> str:
         strings = self.strings
@@ -172,11 +185,10 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             counts, hashed, decoded = [], [], []
             for text in batch.column(1):
                 n, of_ids, of_text, characters = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
-                for ids in codec.encode_parts(text.as_py() or ""):
-                    if ids:
-                        of_ids.update(("," * (n > 0) + ",".join([codec.decimal[i] for i in ids])).encode())
-                        of_text.update(characters.decode(b"".join([codec.strings[i] for i in ids])).encode())
-                        n += len(ids)
+                for pieces in codec.encode_parts(text.as_py() or ""):
+                    of_ids.update(("," * (n > 0) + ",".join([decimal for _, decimal, _ in pieces])).encode())
+                    of_text.update(characters.decode(b"".join([own for _, _, own in pieces])).encode())
+                    n += sum([len(ids) for ids, _, _ in pieces])
                 of_text.update(characters.decode(b"", True).encode())
                 counts.append(n)
                 hashed.append(of_ids.hexdigest())

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, decontaminate, quality, sharding, simhash
+from lumenframe.llm import bpe, decontaminate, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
+    "op7_warc": warc.op7_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": quality.OP3_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
