@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, decontaminate, quality, sharding, simhash, warc
+from lumenframe.llm import bpe, decontaminate, quality, sharding, simhash, warc, wrapper
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_html": wrapper.op2_html,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op7_warc": warc.op7_warc,
