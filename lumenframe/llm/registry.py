@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, decontaminate, quality, sharding, simhash, warc, wrapper
+from lumenframe.llm import bpe, decontaminate, pii, quality, sharding, simhash, warc, wrapper
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_html": wrapper.op2_html,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
+    "op5_pii": pii.op5_pii,
     "op7_warc": warc.op7_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
