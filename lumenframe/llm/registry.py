@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, decontaminate, pii, quality, sharding, simhash, warc, wrapper
+from lumenframe.llm import bpe, decontaminate, linededup, pii, quality, sharding, simhash, warc, wrapper
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_pii": pii.op5_pii,
     "op7_warc": warc.op7_warc,
+    "op8_linededup": linededup.op8_linededup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }

@@ -16,6 +16,9 @@ _WINDOW = 0xC2B2AE3D27D4EB4F | 1
 _IDENTITY = np.arange(256, dtype=np.uint8)
 _LOWER = _IDENTITY.copy()
 _LOWER[65:91] += 32
+#: A-Z lower-cased and digits made alike.
+LOOSE = _LOWER.copy()
+LOOSE[48:58] = 48
 #: Word bytes of [^\x20\x09-\x0D]+ and of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing; bytes of non-ASCII characters are word bytes.
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
@@ -80,12 +83,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, A-Z lower-cased if asked for."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, fold: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, A-Z lower-cased if asked for, or folded by a table of bytes."""
     if not _tables:
         _tables.extend([_powers(_BASE, 2 * _PIECE), _powers(pow(_BASE, -1, 1 << 64), 2 * _PIECE)])
     up, down = _tables
-    fold = _LOWER if lower else _IDENTITY
+    fold = fold if fold is not None else _LOWER if lower else _IDENTITY
     out, at = np.zeros(len(starts), np.uint64), 0
     while at < len(starts):
         s0 = int(starts[at])
