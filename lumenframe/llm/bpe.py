@@ -28,7 +28,7 @@ from lumenframe.llm.common import read
 #: The pieces of byte-level pre-tokenisation, as published with the vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters in a section of a long text, and pieces whose ids are remembered.
-SECTION, REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 1 << 18, 48
+SECTION, REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 1 << 19, 48
 
 
 def byte_characters() -> dict[int, str]:
@@ -139,12 +139,24 @@ class Codec:
         return b"".join([strings[i] for i in ids]).decode("utf-8", errors="replace")
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(spec: dict) -> Codec:
+    """The codec of a vocabulary; a worker keeps the last one, and the pieces it remembers, from task to task."""
+    if spec["digest"] not in _codecs:
+        _codecs.clear()
+        _codecs[spec["digest"]] = Codec(spec)
+    return _codecs[spec["digest"]]
+
+
 def load(path: str) -> dict:
     """The parts of a tokenizer file that encoding needs."""
-    with open(path, encoding="utf-8") as f:
-        whole = json.load(f)
+    with open(path, "rb") as f:
+        content = f.read()
+    whole = json.loads(content)
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in whole["model"]["merges"]]
-    return {"vocab": whole["model"]["vocab"], "merges": merges, "special": {t["content"]: t["id"] for t in whole["added_tokens"]}}
+    return {"digest": hashlib.sha256(content).hexdigest(), "vocab": whole["model"]["vocab"], "merges": merges, "special": {t["content"]: t["id"] for t in whole["added_tokens"]}}
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -152,7 +164,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for texts in batches:
             yield pd.Series([codec.encode(x) for x in texts], dtype=object)
 
@@ -164,7 +176,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for arrays in batches:
             yield pd.Series([codec.decode(x) for x in arrays], dtype=object)
 
@@ -180,7 +192,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             counts, hashed, decoded = [], [], []
             for text in batch.column(1):
