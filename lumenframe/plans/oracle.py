@@ -18,10 +18,10 @@ def over(image: str, offsets: str, values: str, columns: tuple[str, ...] = ("v",
     """Per pixel, `values` over its neighbours n at the given (dy, dx, ...) offsets o, the nearest pixel standing in outside."""
     rest = ", any_value(p.a) AS a" if columns != ("v",) else ""
     extra = f"""d AS (SELECT image_id, max(y) AS my, max(x) AS mx FROM {image} GROUP BY image_id),
-o AS (SELECT * FROM (VALUES {offsets}) AS o(dy, dx, w, u))""" + (", " + more if more else "")
+o AS (SELECT * FROM (VALUES {offsets}) AS o(dy, dx, w, u)),
+p AS (SELECT i.*, o.w, o.u, least(greatest(y + dy, 0), my) AS ny, least(greatest(x + dx, 0), mx) AS nx FROM {image} i JOIN d USING (image_id), o)""" + (", " + more if more else "")
     return query(image, f"""SELECT p.image_id, p.y, p.x, {values}{rest}
-FROM {image} p JOIN d ON p.image_id = d.image_id CROSS JOIN o
-JOIN {image} n ON n.image_id = p.image_id AND n.y = least(greatest(p.y + o.dy, 0), d.my) AND n.x = least(greatest(p.x + o.dx, 0), d.mx)
+FROM p JOIN {image} n ON n.image_id = p.image_id AND n.y = p.ny AND n.x = p.nx
 GROUP BY p.image_id, p.y, p.x""", extra)
 
 
@@ -47,13 +47,13 @@ def extreme(image: str, shape: dict[int, int], name: str, columns: tuple[str, ..
 
 def gaussian(image: str, sigma: float, size: int, circular: bool, columns: tuple[str, ...] = ("v",)) -> str:
     offsets = ", ".join(f"({dy}, {dx}, CAST({w!r} AS DOUBLE), 0)" for (dy, dx), w in gaussian_kernel(sigma, size, circular).items())
-    return over(image, offsets, each(columns, "CAST(trunc(least(255, greatest(0, round(sum(o.w * n.#), 6)))) AS INTEGER)"), columns)
+    return over(image, offsets, each(columns, "CAST(trunc(least(255, greatest(0, round(sum(p.w * n.#), 6)))) AS INTEGER)"), columns)
 
 
 def sobel(image: str, size: int) -> str:
     gx, gy = sobel_weights(size)
     offsets = ", ".join(f"({dy}, {dx}, CAST({gx.get((dy, dx), 0.0)!r} AS DOUBLE), CAST({gy.get((dy, dx), 0.0)!r} AS DOUBLE))" for dy, dx in sorted({*gx, *gy}))
-    return over(image, offsets, "CAST(trunc(least(255, round(sqrt(power(sum(o.w * n.v), 2) + power(sum(o.u * n.v), 2)), 6))) AS INTEGER) AS v")
+    return over(image, offsets, "CAST(trunc(least(255, round(sqrt(power(sum(p.w * n.v), 2) + power(sum(p.u * n.v), 2)), 6))) AS INTEGER) AS v")
 
 
 def twice(image: str, size: int, first: str, second: str) -> str:
@@ -164,8 +164,8 @@ CAST(max(v) - min(v) AS INTEGER) AS range, max(c) AS max_count FROM (SELECT *, s
     q["gaussian_3"] = gaussian("ev", 1.0, 3, False)
     q["gaussian_disk_5"] = gaussian("ev", 1.5, 5, True)
     q["gaussian_color_3"] = gaussian("rg", 1.0, 3, False, COLOR)
-    q["convolve_sharpen"] = over("ev", "(0, 0, 5, 0), (-1, 0, -1, 0), (1, 0, -1, 0), (0, -1, -1, 0), (0, 1, -1, 0)", "CAST(least(255, greatest(0, sum(o.w * n.v))) AS INTEGER) AS v")
-    q["convolve_color"] = over("rg", "(0, 0, 2, 0), (-1, 0, 1, 0), (0, 1, 1, 0)", each(COLOR, "CAST(sum(o.w * n.#) // 4 AS INTEGER)"), COLOR)
+    q["convolve_sharpen"] = over("ev", "(0, 0, 5, 0), (-1, 0, -1, 0), (1, 0, -1, 0), (0, -1, -1, 0), (0, 1, -1, 0)", "CAST(least(255, greatest(0, sum(p.w * n.v))) AS INTEGER) AS v")
+    q["convolve_color"] = over("rg", "(0, 0, 2, 0), (-1, 0, 1, 0), (0, 1, 1, 0)", each(COLOR, "CAST(sum(p.w * n.#) // 4 AS INTEGER)"), COLOR)
     for name, fn in (("dilate", "max"), ("erode", "min")):
         q[f"{name}_3"] = extreme("ev", square(3), fn)
         q[f"{name}_disk_5"] = extreme("ev", disk(5), fn)
@@ -191,7 +191,7 @@ CAST(trunc(round((CASE WHEN mag < 1e-6 THEN 0 ELSE atan2(CASE WHEN abs(im) < 1e-
     line = "'[' || strftime(ts, '%H:%M:%S') || '] ' || event_type || ' (' || printf('%.2f', value) || ' ms)'"
     q["history_parse"] = f"WITH l AS (SELECT {line} AS t FROM events UNION ALL SELECT 'no such form') SELECT CASE WHEN m THEN regexp_extract(t, '\\[(.*?)\\] (.*?) \\((\\d+\\.\\d{{2}}) ms\\)', 1) ELSE '' END AS time, CASE WHEN m THEN regexp_extract(t, '\\[(.*?)\\] (.*?) \\((\\d+\\.\\d{{2}}) ms\\)', 2) ELSE t END AS operation, CASE WHEN m THEN regexp_extract(t, '\\[(.*?)\\] (.*?) \\((\\d+\\.\\d{{2}}) ms\\)', 3) ELSE '' END AS elapsed FROM (SELECT t, regexp_matches(t, '\\[(.*?)\\] (.*?) \\((\\d+\\.\\d{{2}}) ms\\)') AS m FROM l)"
     q["log_parse"] = "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, 'INFO' AS level, event_type || ' applied.' AS message FROM events UNION ALL SELECT '', '', 'no such form'"
-    gray_blur = "g AS (SELECT image_id, y, x, CAST((299 * r + 587 * g + 114 * b) // 1000 AS INTEGER) AS v FROM rg), gd AS (SELECT max(y) AS my, max(x) AS mx FROM g), gb AS (SELECT p.image_id, p.y, p.x, CAST(sum(n.v) // 9 AS INTEGER) AS v FROM g p, gd, (SELECT unnest([-1, 0, 1]) AS dy) oy, (SELECT unnest([-1, 0, 1]) AS dx) ox, g n WHERE n.y = least(greatest(p.y + dy, 0), my) AND n.x = least(greatest(p.x + dx, 0), mx) GROUP BY p.image_id, p.y, p.x), "
+    gray_blur = "g AS (SELECT image_id, y, x, CAST((299 * r + 587 * g + 114 * b) // 1000 AS INTEGER) AS v FROM rg), gd AS (SELECT max(y) AS my, max(x) AS mx FROM g), gb AS (SELECT p.image_id, p.y, p.x, CAST(sum(n.v) // 9 AS INTEGER) AS v FROM (SELECT g.*, least(greatest(y + dy, 0), my) AS ny, least(greatest(x + dx, 0), mx) AS nx FROM g, gd, (SELECT unnest([-1, 0, 1]) AS dy) oy, (SELECT unnest([-1, 0, 1]) AS dx) ox) p JOIN g n ON n.y = p.ny AND n.x = p.nx GROUP BY p.image_id, p.y, p.x), "
     q["pipeline_gray_blur_otsu"] = query("rg", "SELECT image_id, y, x, CASE WHEN v > threshold THEN 255 ELSE 0 END AS v FROM gb JOIN k USING (image_id)", gray_blur + OTSU.format("gb"))
     q["blob_round_trip"] = query("em", "SELECT image_id, y, x, v FROM em")
     return q

@@ -29,7 +29,7 @@ def compare(spark, con, query, sql, sf_dir):
     assert sorted(names) == sorted(df.columns), (names, df.columns)
     assert got == want, (sum(got.values()), sum(want.values()), list((got - want).items())[:3], list((want - got).items())[:3])
     kinds = {n: t for n, t in df.dtypes}
-    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     theirs = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
     assert {n: same.get(k, k) for n, k in kinds.items()} == theirs
     return sum(want.values())
