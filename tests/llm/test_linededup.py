@@ -82,7 +82,22 @@ def test_distance():
     for _ in range(500):
         a = "".join(rng.choice("abc é") for _ in range(rng.randrange(90)))
         b = "".join(c for c in a if rng.random() > 0.1) if rng.random() < 0.5 else "".join(rng.choice("abc é") for _ in range(rng.randrange(30)))
-        assert ld.distance(a, b) == plain_distance(a, b)
+        d = plain_distance(a, b)
+        assert ld.distance(a, b) == d
+        assert all(ld.at_most(a.split(" "), b.split(" "), limit) >= d for limit in (0, 5, 99))
+        for limit in (0, 3, 20):
+            assert (ld.distance(a, b, limit) <= limit) == (d <= limit)
+        assert ld.similar(a, b) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def test_prints_count_every_word():
+    rng = random.Random(12)
+    text = "\n".join(" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (1, 2, 3, 254, 255, 256, 700, 5, 1100))
+    found = ld.Lines(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    h = ld.word_hashes(found.data, found.starts, found.ends, True, ld.LOOSE)
+    for a, b, fp in zip(found.first, found.last, found.fp.tolist(), strict=True):
+        own = h[a:b].tolist()
+        assert fp == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in own) > len(own))
 
 
 def test_documents(spark):
