@@ -41,14 +41,14 @@ def byte_characters() -> dict[int, str]:
 class Remembered(dict):
     """For each piece (ids, the ids in decimals, the bytes they stand for); pieces met often are merged once."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, most: int):
         super().__init__()
-        self.codec = codec
+        self.codec, self.most = codec, most
 
     def __missing__(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
         made = self.codec.described(self.codec.merge(piece))
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = made
         return made
@@ -57,7 +57,7 @@ class Remembered(dict):
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, remembered: int = REMEMBERED):
         self.vocab: dict[str, int] = spec["vocab"]
         self.special: dict[str, int] = spec["special"]
         names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
@@ -71,7 +71,7 @@ class Codec:
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile(r"(?<=\S)(?= \S)")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known = Remembered(self)
+        self.known = Remembered(self, remembered)
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece: the lowest rank, and of equal ranks the leftmost, is merged first."""
@@ -183,6 +183,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.withColumn(out, F.pandas_udf(run, "string")(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe", remembered: int = 1 << 16) -> DataFrame:
+    """df with a struct: the ids of each text, and whether they decode to it (exact).
+
+    Encoder and decoder share a worker, and remember fewer pieces, for one task only: where other stages share the
+    executors, memory is dearer than the merges it saves."""
+    shared = df.sparkSession.sparkContext.broadcast(load(path))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(shared.value, remembered)
+        for texts in batches:
+            ids = [codec.encode(x) for x in texts]
+            yield pd.DataFrame({"ids": ids, "exact": [codec.decode(i) == x for i, x in zip(ids, texts, strict=True)]})
+
+    made = F.pandas_udf(run, "struct<ids:array<int>,exact:boolean>")
+    return df.withColumn(out, made(F.coalesce(F.col(text), F.lit(""))))
+
+
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode each text in one pass and return (key, n_tokens, ids_sha256, decoded_sha256).
 

@@ -53,4 +53,6 @@ def test_columns_and_edge_rows(spark, library):
         assert r.n_tokens == "kept"
         assert (r.ids, r.decoded) == expected(library, r.text)
     assert bpe.digests(df, PATH).count() == len(TEXTS)
+    for r in bpe.round_trip(df, PATH).collect():
+        assert (r.bpe.ids, r.bpe.exact) == (expected(library, r.text)[0], True)
     assert bpe.digests(df.limit(0), PATH).count() == 0
