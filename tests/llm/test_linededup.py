@@ -138,3 +138,37 @@ def test_each_close_pair_is_looked_at_once():
     for i in range(len(x)):
         for j in np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) <= 3).tolist():
             assert at[int(x[i])] & at[int(x[j])]
+
+
+def test_recall_against_edit_similarity_alone(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    forms = sorted({f for r in df.select("text").collect() for line in (r.text or "").split("\n") if (f := form(line)) is not None}, key=len)
+    found = [ld.Lines(np.frombuffer(f.encode(), np.uint8), np.array([0, len(f.encode())])) for f in forms]
+    long, bags = np.array([len(f) for f in forms]), np.stack([np.bincount([ord(c) % 128 for c in f], minlength=128) for f in forms])
+    pairs = []
+    for i in range(1, len(forms)):
+        most = int(0.2 * long[i] + 1e-9)
+        lo = int(np.searchsorted(long, long[i] - most))
+        over = bags[lo:i] - bags[i]  # the distance is no less than either sum
+        for j in lo + np.flatnonzero(np.maximum(np.maximum(over, 0).sum(1), np.maximum(-over, 0).sum(1)) <= most):
+            if ld.distance(forms[i], forms[j], most) <= most:
+                pairs.append((i, int(j)))
+    union = Union()
+    for r in ld.links(df, ld.lines(df)).collect():
+        union.join(r.a, r.b)
+    g = [int(x.g.view(np.int64)[0]) for x in found]
+    far = [(i, j) for i, j in pairs if int(found[i].fp[0] ^ found[j].fp[0]).bit_count() > 3]
+    assert len(far) > 20
+    for some in (pairs, far):
+        assert sum(union.find(g[i]) == union.find(g[j]) for i, j in some) >= 0.98 * len(some)
+
+
+def test_one_word_replaced(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    docs = []
+    for i in range(300):
+        words = [word() for _ in range(rng.randrange(6, 12))]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:2], word(), *words[3:]]))]
+    got = rows(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sum(r[2] for r in got) >= 0.98 * 300
