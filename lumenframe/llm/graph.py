@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +73,3 @@ def components(edges: DataFrame) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
