@@ -1,9 +1,10 @@
-"""A small HTML parser: pages to trees of tags and texts, forgiving like browsers are."""
+"""A small HTML parser: pages to trees of tags and texts, forgiving like browsers are, to any depth in linear time."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -12,7 +13,6 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "tr"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 WALLS = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr"))}
-DEPTH = 200
 
 _MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -43,14 +43,18 @@ def parse(page: str) -> Node:
     """The tree of a page, under a node of its own."""
     root = Node("#page")
     stack, at, n = [root], 0, len(page)
+    opened: Counter[str] = Counter()  # tags on the stack, so that what is not open is not looked for
 
     def add_text(raw: str) -> None:
         if raw:
             stack[-1].kids.append(html.unescape(raw) if "&" in raw else raw)
 
     def close(tags: tuple[str, ...], walls: frozenset[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                opened.subtract(x.tag for x in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in walls:
@@ -88,6 +92,6 @@ def parse(page: str) -> Node:
             if end and at == 0:
                 at = n
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        stack.append(node)
+        opened[tag] += 1
     return root
