@@ -3,12 +3,13 @@
 A window is WINDOW consecutive words of a benchmark item; an item of fewer words, but not none, is one window.  In
 each window of words the least hash of its K-word grams is its fingerprint (the rightmost of equal ones is kept), in
 items and documents alike, so every shared window selects the same gram on both sides.  Kept grams of documents are
-joined with those of the items, and each match is extended to the windows around it by comparing window hashes.
-Windows of short items are compared as a whole.  Words and windows are compared by 64-bit hashes.
+joined with those of the items, and each match is extended to the windows around it, which count where an item has them.
+Windows of short items are compared as a whole.  Words and windows are compared by 64-bit hashes.  A gram's places in
+items are not paired with its places in a document, so texts and items that repeat themselves cost no more than others.
 
-The benchmark side is broadcast in blocks of at most BLOCK_WORDS words (about 100 MB in a worker); a benchmark beyond
-one block is met block after block, with the documents written between, so nothing is cut off and nothing grows with
-the corpus.  Documents are not shuffled.
+The benchmark side is broadcast in blocks of at most BLOCK_WORDS words (about 100 MB in a worker).  Documents are read
+once and not shuffled: a benchmark of more than one block is met block after block by HELD_BYTES of documents at a time,
+so nothing is cut off and nothing grows with the corpus.
 
 Nulls have no words; documents without words are never hit and items without words have no window.  Repeated items
 and item ids count once in n_items, a null item id is written as `null`, repeated documents get equal results, and
@@ -20,14 +21,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import read, written
+from lumenframe.llm.common import read
 from lumenframe.llm.tokens import ALPHANUMERIC, groups, rolling, sliding_min, spans, text_bytes, word_hashes
 
-WINDOW, K, BLOCK_WORDS = 13, 5, 1_000_000
+WINDOW, K, BLOCK_WORDS, HELD_BYTES = 13, 5, 1_000_000, 64 << 20
 FOUND = "struct<n_words:bigint,spans:array<struct<a:bigint,b:bigint>>,items:array<string>>"
 
 
@@ -53,7 +55,7 @@ def picked(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A block of items, ready to be met by documents."""
+    """A block of items, ready to be met by documents: kept grams, and for each size of window which items have it."""
 
     def __init__(self, ids: list[str], texts: list[str | None]):
         data, bounds = text_bytes(pa.array(texts, pa.large_string()))
@@ -61,48 +63,53 @@ class Block:
         h = word_hashes(data, starts, ends, True)
         sizes = np.diff(first)
         self.ids = ids
-        self.item = np.repeat(np.arange(len(ids)), sizes)
-        self.begin, self.end = np.repeat(first[:-1], sizes), np.repeat(first[1:], sizes)
-        self.windows = rolling(h, WINDOW)
         grams, kept = picked(h, first)
-        order = np.argsort(grams[kept], kind="stable")
-        self.prints, self.places = grams[kept][order], kept[order]
-        self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        self.prints = np.unique(grams[kept])
+        item, end = np.repeat(np.arange(len(ids)), sizes), np.repeat(first[1:], sizes)
+        at = np.flatnonzero(np.arange(len(h)) + WINDOW <= end)
+        self.windows = {WINDOW: self._listed(rolling(h, WINDOW)[at], item[at])} if len(at) else {}
         for n in sorted({int(s) for s in sizes if 0 < s < WINDOW}):
-            of: dict[int, list[int]] = {}
-            for i in np.flatnonzero(sizes == n).tolist():
-                of.setdefault(int(rolling(h[first[i] : first[i] + n], n)[0]), []).append(i)
-            keys = np.array(sorted(of), np.uint64)
-            self.short[n] = (keys, [of[int(k)] for k in keys])
-
-    def meet(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, item) of the hit windows of documents; rows may repeat."""
-        out = []
+            own = np.flatnonzero(sizes == n)
+            self.windows[n] = self._listed(np.array([rolling(h[first[i] : first[i] + n], n)[0] for i in own.tolist()], np.uint64), own)
+
+    @staticmethod
+    def _listed(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(different windows, where the items of each begin, items)."""
+        order = np.lexsort((items, windows))
+        windows, items = windows[order], items[order]
+        new = np.concatenate([[True], (windows[1:] != windows[:-1]) | (items[1:] != items[:-1])])
+        windows, items = windows[new], items[new]
+        head = np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]]))
+        return windows[head], np.append(head, len(windows)), items
+
+    def meet(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+        """(starts, lengths) of the hit windows of documents, and the items that each document has windows of."""
         begin, end = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
-        if len(self.prints):
-            grams, kept = picked(h, first)
-            lo, hi = (np.searchsorted(self.prints, grams[kept], side) for side in ("left", "right"))
-            many = hi - lo
-            p = np.repeat(kept, many)
-            nth = np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
-            q = self.places[np.repeat(lo, many) + nth]
-            windows = rolling(h, WINDOW)
-            for o in range(WINDOW - K + 1):
-                s, t = p - o, q - o
-                ok = (s >= begin[p]) & (s + WINDOW <= end[p]) & (t >= self.begin[q]) & (t + WINDOW <= self.end[q])
-                s, t = s[ok], t[ok]
-                same = windows[s] == self.windows[t]
-                out.append((s[same], np.full(int(same.sum()), WINDOW), self.item[t[same]]))
-        for n, (keys, items) in self.short.items():
+        out: list[tuple[np.ndarray, int]] = []
+        items: list[set[int]] = [set() for _ in range(len(first) - 1)]
+        for n, (keys, head, listed) in self.windows.items():
             whole = rolling(h, n)
-            at = np.flatnonzero(np.isin(whole, keys))
+            if n == WINDOW:
+                grams, kept = picked(h, first)
+                kept = kept[np.isin(grams[kept], self.prints)]
+                at = np.zeros(len(whole), bool)  # windows around a match
+                for o in range(WINDOW - K + 1):
+                    s = kept - o
+                    at[s[(s >= begin[kept]) & (s + WINDOW <= end[kept])]] = True
+                at = np.flatnonzero(at)
+            else:
+                at = np.arange(len(whole))
             at = at[at + n <= end[at]]
-            for s, k in zip(at.tolist(), np.searchsorted(keys, whole[at]).tolist(), strict=True):
-                own = np.array(items[k])
-                out.append((np.full(len(own), s), np.full(len(own), n), own))
+            at = at[np.isin(whole[at], keys)]
+            if not len(at):
+                continue
+            out.append((at, n))
+            met = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, np.searchsorted(keys, whole[at])], 1), axis=0)
+            for d, k in met.tolist():
+                items[d].update(listed[head[k] : head[k + 1]].tolist())
         if not out:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate([x[i] for x in out]).astype(np.int64) for i in range(3))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), items
+        return np.concatenate([a for a, _ in out]), np.concatenate([np.full(len(a), n) for a, n in out]), items
 
 
 def intervals(starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
@@ -122,19 +129,25 @@ def _found(texts: pa.Array, block: Block) -> list[dict]:
     for a, b in groups(bounds):
         part, own = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         starts, ends, first = spans(part, own, ALPHANUMERIC)
-        begun, size, item = block.meet(word_hashes(part, starts, ends, True), first)
-        made = [{"n_words": n, "spans": [], "items": []} for n in np.diff(first).tolist()]
+        begun, size, items = block.meet(word_hashes(part, starts, ends, True), first)
+        made = [{"n_words": n, "spans": [], "items": sorted({block.ids[i] for i in of})} for n, of in zip(np.diff(first).tolist(), items, strict=True)]
         if len(begun):
             doc = np.searchsorted(first, begun, "right") - 1
             order = np.argsort(doc, kind="stable")
             for own_rows in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
                 d = int(doc[own_rows[0]])
                 made[d]["spans"] = [{"a": x, "b": y} for x, y in intervals(begun[own_rows] - first[d], size[own_rows])]
-                made[d]["items"] = sorted({block.ids[i] for i in np.unique(item[own_rows]).tolist()})
         rows += made
     return rows
 
 
+def _both(a: dict, b: dict) -> dict:
+    """What a document has of two blocks."""
+    lengths = lambda x: np.array([s["b"] - s["a"] for s in x["spans"]], np.int64)
+    starts = np.array([s["a"] for x in (a, b) for s in x["spans"]], np.int64)
+    return {"n_words": a["n_words"], "spans": [{"a": x, "b": y} for x, y in intervals(starts, np.concatenate([lengths(a), lengths(b)]))], "items": sorted({*a["items"], *b["items"]})}
+
+
 def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[tuple[list[str], list[str | None]]]:
     """Items, streamed to the driver in blocks of about `limit` words."""
     ids, texts, size = [], [], 0
@@ -150,32 +163,30 @@ def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[t
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "found", block_words: int = BLOCK_WORDS) -> DataFrame:
     """df with a struct: n_words, the hit words as intervals (spans a to b, end exclusive), and the ids of the items hit."""
-    spark = df.sparkSession
-    made = df
-    for n, (ids, texts) in enumerate(blocks(benchmark, item, item_text, block_words)):
-        if n:
-            made = written(made, "decontaminated")
-        shared = spark.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator, shared=shared) -> Iterator:
-            import pandas as pd
-
-            block = Block(*shared.value)
-            for texts in batches:
-                yield pd.DataFrame(_found(pa.array(texts, pa.large_string(), from_pandas=True), block), columns=["n_words", "spans", "items"])
-
-        run.__annotations__ = {}
-        hit = _udf(run)(F.col(text))
-        made = made.withColumn(out, hit if not n else _merged(F.col(out), hit))
-    return made
-
-
-def _udf(run):
-    return F.pandas_udf(run, FOUND, functionType=F.PandasUDFType.SCALAR_ITER)
-
-
-def _merged(a: Column, b: Column) -> Column:
-    return F.struct(a["n_words"].alias("n_words"), F.concat(a["spans"], b["spans"]).alias("spans"), F.array_union(a["items"], b["items"]).alias("items"))
+    context = df.sparkSession.sparkContext
+    shared = [context.broadcast(b) for b in blocks(benchmark, item, item_text, block_words)]
+
+    def met(held: list[pa.Array], block: Block | None) -> Iterator[pd.DataFrame]:
+        found: list[list[dict]] = []
+        for part in shared:
+            block = block or Block(*part.value)
+            own = [_found(texts, block) for texts in held]
+            found = [[_both(a, b) for a, b in zip(x, y, strict=True)] for x, y in zip(found, own, strict=True)] if found else own
+            block = None
+        for rows in found:
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only = Block(*shared[0].value) if len(shared) == 1 else None
+        held: list[pa.Array] = []
+        for texts in batches:
+            held.append(pa.array(texts, pa.large_string(), from_pandas=True))
+            if only or sum(x.nbytes for x in held) >= HELD_BYTES:
+                yield from met(held, only)
+                held = []
+        yield from met(held, only)
+
+    return df.withColumn(out, F.pandas_udf(run, FOUND)(F.col(text)))
 
 
 def hit_words(found: Column) -> Column:

@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import resource
+import time
 
+import pyarrow as pa
 from oracle import same
 
 from pyspark.sql import functions as F
@@ -65,3 +68,22 @@ def test_against_brute_force(spark):
     assert result(df, bench, block_words=300) == brute(docs, items)
     assert result(df, bench.limit(0)) == brute(docs, [])
     assert result(df.limit(0), bench) == []
+
+
+def test_texts_and_items_that_repeat_themselves():
+    block = dc.Block(["a", "b", "c"], ["so " * 5000, "so " * 12, "no " * 40])
+    data, bounds = dc.text_bytes(pa.array(["so " * 20_000 + "yes", "no", "no " * 13]))
+    began = time.process_time()
+    starts, ends, first = dc.spans(data, bounds, dc.ALPHANUMERIC)
+    begun, size, items = block.meet(dc.word_hashes(data, starts, ends, True), first)
+    assert time.process_time() - began < 5
+    assert items == [{0, 1}, set(), {2}]
+    assert dc.intervals(begun, size) == [(0, 20_000), (20_002, 20_015)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 4_000_000
+
+
+def test_many_blocks_give_what_one_gives(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda words: sorted((r.doc_id, r.n, [(s.a, s.b) for s in r.spans], sorted(r.items)) for r in dc.contamination(docs, items, block_words=words).selectExpr("doc_id", "found.n_words as n", "found.spans", "found.items").collect())
+    assert rows(500) == rows(1_000_000)
