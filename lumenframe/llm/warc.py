@@ -3,17 +3,20 @@
 Each row becomes a capture of three records: a request, a response or a revisit, and a metadata record that bears the
 row's page_id; request and metadata name the capture by WARC-Concurrent-To.  Of equal payloads of at least
 `min_bytes` bytes, that with the smallest page_id is written as a response and the others as revisits of it, without
-payload.  Archives go through Spark's own writer to any file system it knows, gzipped, some RECORDS_PER_FILE records a
-file.  Reading walks the records by Content-Length and computes digests anew; assembly joins request and metadata to
-their capture by the concurrent-to identifiers, and revisits to the response they refer to, giving one nested row per
-capture.
+payload.  Archives go through Spark's own writer to any file system it knows: a file holds records of ARCHIVE_BYTES or
+one record more, each a gzip member of its own, so that it can be read from its offset; a zero byte pads the end.
+Reading walks the records by Content-Length and computes digests anew; assembly joins request and metadata to their
+capture by the concurrent-to identifiers, and revisits to the response they refer to, giving one nested row per capture.
+
+Payloads are not shuffled: which digests are repeated is found from ids and digests alone, and is broadcast if it has
+BROADCAST_ROWS rows or fewer; else the row ids of revisits are joined with the rows.
 
 The table is read twice and must give the same rows each time (a stored table or a checkpoint does), as record ids
 come from a row's place in it.  Null html is an empty payload; a null url leaves the target out, and line breaks in
 an url are percent-encoded; rows without a page_id are responses only if no equal payload has one.  Rows that share
 the smallest page_id of their payload are decided by place: one is the response, and the others revisit it.  Equal
 rows stay separate captures.  Other columns are not looked at; an empty table gives an empty archive.  A payload has to
-fit in memory, an archive file too.
+fit in memory, an archive file too.  The text writer is given archives as strings, whose bytes it does not change.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import fresh_path, read, written
+from lumenframe.storage import has_at_most
 
-RECORDS_PER_FILE = 12_000
+ARCHIVE_BYTES, BROADCAST_ROWS = 32 << 20, 500_000
 CRLF = "\r\n"
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, page_id long, payload_bytes long, payload_digest string, intact boolean, payload binary"
 
@@ -56,10 +61,14 @@ def captures(df: DataFrame, page: str = "page_id", url: str = "url", html: str =
     ).withColumn("digest", base32_sha1(F.encode("html", "UTF-8")))
     shared = rows.filter(F.octet_length("html") >= min_bytes)
     firsts = shared.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "rid")).alias("first"), F.count("*").alias("n"))
-    repeated = firsts.filter("n > 1").select("digest", "first.page_id", "first.rid")
-    joined = rows.join(repeated.select("digest", F.struct("page_id", "rid").alias("first")), "digest", "left")
+    repeated = written(firsts.filter("n > 1").select("digest", F.struct("first.page_id", "first.rid").alias("first")), "warc-repeated")
     revisit = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid")) & (F.octet_length("html") >= min_bytes)
-    return joined.withColumn("first", F.when(revisit, F.col("first")))
+    if has_at_most(repeated, BROADCAST_ROWS):
+        joined = rows.join(F.broadcast(repeated), "digest", "left")
+    else:
+        again = written(shared.select("rid", "digest").join(repeated, "digest").filter("first.rid <> rid").select("rid", "first"), "warc-revisits")
+        joined = rows.join(again, "rid", "left")
+    return joined.withColumn("first", F.when(revisit, F.col("first"))).select("rid", "page_id", "url", "html", "digest", "first")
 
 
 def records(found: DataFrame) -> DataFrame:
@@ -91,9 +100,32 @@ def records(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array(request, main, metadata)).alias("value"))
 
 
-def write(df: DataFrame, path: str, min_bytes: int = 0, **columns: str) -> None:
+def _packed(most: int):
+    """Archives of `most` bytes or one record more: records as gzip members, one after another."""
+
+    def archive(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for x in batch.column(0):
+                member = zlib.compressobj(6, zlib.DEFLATED, 31)
+                held.append(member.compress(x.as_buffer()) + member.compress(b"\r\n\r\n") + member.flush())
+                size += len(held[-1])
+                if size >= most:
+                    yield archive(held)
+                    held, size = [], 0
+        if held:
+            yield archive(held)
+
+    return run
+
+
+def write(df: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, **columns: str) -> None:
     """Archives of the rows of df under path; WARC records end with two line breaks."""
-    records(captures(df, min_bytes=min_bytes, **columns)).write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    archives = records(captures(df, min_bytes=min_bytes, **columns)).mapInArrow(_packed(archive_bytes), "value binary")
+    archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,7 +182,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     def table(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -158,17 +190,20 @@ def assemble(found: DataFrame) -> DataFrame:
 
     `response` is the payload's length, digest, intactness and bytes, for revisits that of the response they refer to;
     `refers_to` is that response's page_id.  A missing request or metadata record leaves a null."""
-    joined_by = found.filter("type in ('request', 'metadata') and concurrent_to is not null").groupBy(F.col("concurrent_to").alias("capture_id")).agg(
+    told = found.filter("type in ('request', 'metadata') and concurrent_to is not null").groupBy(F.col("concurrent_to").alias("capture_id")).agg(
         F.min(F.when(F.col("type") == "request", F.struct("record_id", "target_uri"))).alias("request"),
         F.min(F.when(F.col("type") == "metadata", F.struct("record_id", "page_id"))).alias("metadata"),
     )
+    told = written(told, "warc-told")
     main = found.filter("type in ('response', 'revisit')").select(
         F.col("record_id").alias("capture_id"), "target_uri", "type", F.col("refers_to").alias("of"), F.struct("payload_bytes", "payload_digest", "intact", "payload").alias("response")
     )
-    nested = main.join(joined_by, "capture_id", "left")
+    plain, revisits = (main.filter(x).join(told, "capture_id", "left") for x in ("of is null", "of is not null"))  # apart, as responses share no key
     wanted = main.filter("of is not null").select(F.col("of").alias("capture_id")).distinct()
-    firsts = nested.join(wanted, "capture_id", "left_semi").select(F.col("capture_id").alias("of"), F.col("response").alias("first"), F.col("metadata.page_id").alias("refers_to"))
-    return nested.join(firsts, "of", "left").select("capture_id", "target_uri", "type", "request", "metadata", F.coalesce("first", "response").alias("response"), "refers_to")
+    firsts = main.join(wanted, "capture_id", "left_semi").join(told, "capture_id", "left")
+    firsts = written(firsts.select(F.col("capture_id").alias("of"), F.col("response").alias("first"), F.col("metadata.page_id").alias("refers_to")), "warc-firsts")
+    again = revisits.join(firsts, "of", "left").select("capture_id", "target_uri", "type", "request", "metadata", F.coalesce("first", "response").alias("response"), "refers_to")
+    return plain.select("capture_id", "target_uri", "type", "request", "metadata", "response", F.lit(None).cast("long").alias("refers_to")).union(again)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

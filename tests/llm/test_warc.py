@@ -1,5 +1,7 @@
 import base64
+import glob
 import hashlib
+import zlib
 
 from oracle import same
 
@@ -39,3 +41,29 @@ def test_small_payloads_stay_responses_and_ties(spark):
     found = there_and_back(spark, [(1, "u", "abc"), (2, "u", "abc"), (3, "u", "longer"), (4, "u", "longer"), (3, "u", "longer")], min_bytes=4)
     assert sorted((r.metadata.page_id, r.type) for r in found) == [(1, "response"), (2, "response"), (3, "response"), (3, "revisit"), (4, "revisit")]
     assert there_and_back(spark, []) == []
+
+
+def test_many_repeated_payloads_take_the_other_way(spark, monkeypatch):
+    rows = [(i, "u", "payload %d" % (i % 7)) for i in range(60)] + [(None, None, "payload 3")]
+    one = sorted(map(str, there_and_back(spark, rows)))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, there_and_back(spark, rows))) == one
+
+
+def test_archives_are_bounded_and_records_can_be_read_by_offset(spark):
+    path = fresh_path(spark, "warc-test")
+    df = spark.createDataFrame([(i, "http://a/%d" % i, hashlib.sha256(b"%d" % i).hexdigest() * 9) for i in range(80)], "page_id long, url string, html string")
+    warc.write(df.coalesce(2), path, archive_bytes=2000)
+    files = glob.glob(path.removeprefix("file://") + "/part-*")
+    assert len(files) > 10
+    members = 0
+    for f in files:
+        data = open(f, "rb").read()
+        assert len(data) < 2000 + 1500
+        while data.strip(b"\0"):
+            one = zlib.decompressobj(31)
+            record = one.decompress(data) + one.flush()
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            data, members = one.unused_data, members + 1
+    assert members == 240
+    assert warc.read_records(spark, path).count() == 240
