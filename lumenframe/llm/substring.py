@@ -5,9 +5,13 @@ in a document with a smaller doc_id, as the input stands.
 
 Every window has an anchor, the least hash of its K-word grams, so equal windows have equal anchors wherever they are.
 Anchors met in one document only are left aside; of the others the stretches of windows they anchor are collected,
-equal stretches once with their smallest doc_id, and dealt out by anchor.  A shard takes whole anchors up to SHARD_WORDS words
-(a larger anchor is a shard of its own) and builds a compressed FM-index of its stretches: suffix order by prefix
-doubling as deep as a window, the Burrows-Wheeler transform in a wavelet matrix of packed bits with sampled ranks.
+equal stretches once with their smallest doc_id, and dealt out by anchor.  Where an anchor has more than HOT different
+stretches, as at the ends of a passage that many documents share, its windows stay only if each of their grams is met
+again or in two documents; what is left of the stretches is cut out and dealt out, equal pieces once.  A shard takes
+whole anchors up to SHARD_WORDS words (a larger anchor is a shard of its own) and builds a compressed FM-index of its stretches: suffix order by prefix
+doubling as deep as a window, and the Burrows-Wheeler transform in a wavelet matrix of packed bits with sampled ranks.
+Classes of suffixes are packed bits too, with a number for each class; the index of a shard takes some 3 bytes a word
+beside the words themselves and 12 bytes for each different window.
 All stretches are then streamed through backward search, right to left, keeping the longest match up to a window's
 length; where it is a window long, the suffixes in its interval tell the smallest document that has it, and the
 intervals above the threshold are reported.
@@ -29,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import read, written
+from lumenframe.llm.common import read, small, written
 from lumenframe.llm.linededup import runs
 from lumenframe.llm.tokens import NOT_BLANK, groups, rolling, sliding_min, spans, text_bytes, word_hashes
 
 WINDOW, K, STRETCH = 50, 8, 48
-SHARD_WORDS, BROADCAST_ROWS = 300_000, 4_000_000
+SHARD_WORDS, BROADCAST_ROWS, HOT = 300_000, 4_000_000, 500
 
 
 # --- index
@@ -76,44 +80,51 @@ class Wavelet:
         return at - begin
 
 
+class Classes:
+    """Runs of suffixes that begin alike: one packed bit a suffix, and where each run begins."""
+
+    def __init__(self, changed: np.ndarray):
+        self.bits = Bits(changed.astype(np.uint8))
+        self.heads = np.append(np.flatnonzero(changed), len(changed)).astype(np.int32)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The number of the run that holds each suffix."""
+        return self.bits.ones(at + 1) - 1
+
+
 class Index:
     """FM-index of word sequences (symbols from 1) that bear a value each; windows are looked up with the least value."""
 
     def __init__(self, sequences: np.ndarray, sizes: np.ndarray, values: np.ndarray, window: int):
         self.window, n = window, int(sizes.sum()) + len(sizes)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        text = np.zeros(n, np.int64)  # 0 ends each sequence
+        text = np.zeros(n, np.int32)  # 0 ends each sequence
         inside = np.ones(n, bool)
         inside[starts + sizes] = False
         text[inside] = sequences
         self.text, self.starts, self.sizes = text, starts, sizes
-        ranks, depth = [np.unique(text, return_inverse=True)[1].astype(np.int64)], 1
+        ranks, depth = [np.unique(text, return_inverse=True)[1].astype(np.int32)], 1
         while depth < window:
             ahead = np.zeros(n, np.int64)
             ahead[: n - depth] = ranks[-1][depth:] + 1
-            ranks.append(np.unique(ranks[-1] * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64))
+            ranks.append(np.unique(ranks[-1] * np.int64(n + 1) + ahead, return_inverse=True)[1].astype(np.int32))
             depth *= 2
-        order = np.argsort(ranks[-1], kind="stable")
-        before = text[order - 1]
+        order = np.argsort(ranks[-1], kind="stable").astype(np.int32)
         self.most = int(text.max())
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.most + 1))])
-        self.wavelet = Wavelet(before, self.most)
-        owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-        whole = self._classes(ranks, order, window)
-        heads = np.flatnonzero(whole)
-        self.least = np.repeat(np.minimum.reduceat(values[owner][order], heads), np.diff(np.append(heads, n)))
-        shorter = np.flatnonzero(self._classes(ranks, order, window - 1))
-        width = np.diff(np.append(shorter, n))
-        self.low, self.high = np.repeat(shorter, width), np.repeat(shorter + width, width)
+        self.wavelet = Wavelet(text[order - 1], self.most)
+        self.whole, self.shorter = (Classes(self._changed(ranks, order, d)) for d in (window, window - 1))
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+        self.least = np.minimum.reduceat(values[owner[order]], self.whole.heads[:-1])
 
     @staticmethod
-    def _classes(ranks: list[np.ndarray], order: np.ndarray, depth: int) -> np.ndarray:
+    def _changed(ranks: list[np.ndarray], order: np.ndarray, depth: int) -> np.ndarray:
         """Where in suffix order the first `depth` symbols change."""
         changed, at = np.zeros(len(order), bool), 0
         changed[0] = True
         for level in range(len(ranks) - 1, -1, -1):
             if depth >> level & 1:
-                own = np.full(len(order), -1, np.int64)
+                own = np.full(len(order), -1, np.int32)
                 reach = order + at < len(order)
                 own[reach] = ranks[level][order[reach] + at]
                 changed[1:] |= own[1:] != own[:-1]
@@ -135,13 +146,14 @@ class Index:
         for back in range(1, int(sizes.max(initial=0)) + 1):
             on = np.flatnonzero(sizes >= back)
             full = on[length[on] == self.window]  # a match of a window's length is cut before it grows
-            lo[full], hi[full] = self.low[lo[full]], self.high[lo[full]]
+            run = self.shorter.of(lo[full])
+            lo[full], hi[full] = self.shorter.heads[run], self.shorter.heads[run + 1]
             length[full] -= 1
             at = sizes[on] - back
             lo[on], hi[on] = self.step(self.text[starts[on] + at], lo[on], hi[on])
             length[on] += 1
             done = length[on] == self.window
-            for i, a, v in zip(on[done].tolist(), at[done].tolist(), self.least[lo[on[done]]].tolist(), strict=True):
+            for i, a, v in zip(on[done].tolist(), at[done].tolist(), self.least[self.whole.of(lo[on[done]])].tolist(), strict=True):
                 out[i][a] = v
         return out
 
@@ -261,6 +273,62 @@ def _shard(g: list[int], least: list[int], texts: list[bytes]) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["g", "a", "b", "least"])
 
 
+def _grams(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of the K-word grams of each stretch."""
+    data, bounds = text_bytes(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    starts, ends, first = spans(data, bounds, NOT_BLANK)
+    h = word_hashes(data, starts, ends, False)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield rolling(h[a:b], K)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, gram, g, p, least, most) of the grams of stretches (k, g, x, least, most); p is the gram's place in the stretch."""
+    for batch in batches:
+        found = list(_grams(batch.column(2).to_pylist()))
+        take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found]) if found else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(grams.view(np.int64)), batch.column(1).take(take), pa.array(places), *(batch.column(i).take(take) for i in (3, 4))], names=["k", "gram", "g", "p", "least", "most"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, at, k, piece, x): what stays of stretches (k, g, x, alone), the places of grams that are met once known."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for k, g, x, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = x.split(b" ")
+            bad = np.zeros(len(words) - K + 2, np.int64)
+            bad[np.array(alone or [], np.int64) + 1] = 1
+            total = np.cumsum(bad)
+            width = WINDOW - K + 1
+            good = total[width:] == total[:-width]  # windows all of whose grams are met elsewhere
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                piece = b" ".join(words[a : b + WINDOW - 1])
+                rows.append((g, a, k, xxhash.xxh3_64_intdigest(piece) - (1 << 63), piece))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.binary()) for i, c in enumerate(columns)], names=["g", "at", "k", "piece", "x"])
+
+
+def _cooled(forms: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(stretches to index, pieces of those of hot anchors), or None where no anchor is hot.  forms: (k, g, least, most, x)."""
+    counts = forms.groupBy("k").count().filter(F.col("count") > HOT).select("k")
+    hot = written(counts, "hot-anchors")
+    if hot.isEmpty():
+        return None
+    hot = small(hot)
+    many = written(forms.join(hot, "k", "left_semi"), "hot-stretches")
+    met = many.select("k", "g", "x", "least", "most").mapInArrow(_met, "k long, gram long, g long, p int, least long, most long")
+    sums = [F.min("least").alias("l"), F.max("most").alias("m"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("p").alias("p")]
+    alone = met.groupBy("k", "gram").agg(*sums).filter("n = 1 and l = m")
+    places = alone.groupBy("g").agg(F.collect_set("p").alias("alone"))
+    pieces = written(many.select("k", "g", "x").join(places, "g", "left").select("k", "g", "x", "alone").mapInArrow(_pieces, "g long, at long, k long, piece long, x binary"), "pieces")
+    cut = pieces.select("g", "k", "piece", "x").join(many.select("g", "least"), "g").groupBy("k", "piece").agg(F.min("least").alias("least"), F.first("x").alias("x"))
+    rest = forms.join(hot, "k", "left_anti").select("k", "g", "least", "x")
+    return rest.union(cut.select("k", F.col("piece").alias("g"), "least", "x")), pieces
+
+
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, spans): for documents with repeated words, the intervals of words that go (a to b, end exclusive, may overlap)."""
     spark = df.sparkSession
@@ -275,9 +343,16 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         own = met.join(shared, "k").groupBy("doc_id", "h").agg(F.collect_set("k").alias("own"))
         found = rows.join(own, ["doc_id", "h"]).select("doc_id", "h", "t", "own").mapInArrow(_stretches(None), "k long, g long, doc_id long, h long, s long, x binary")
     found = written(found, "stretches")
-    forms = found.groupBy("k", "g").agg(F.min("doc_id").alias("least"), F.min("x").alias("x"))
-    dealt = forms.select("k", "g", "least", "x").repartition(F.col("k")).sortWithinPartitions("k", "g")
+    forms = written(found.groupBy("k", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("x").alias("x")), "forms")
+    cooled = _cooled(forms)
+    indexed = cooled[0] if cooled else forms.select("k", "g", "least", "x")
+    dealt = indexed.repartition(F.col("k")).sortWithinPartitions("k", "g")
     told = written(dealt.mapInArrow(_reported, "g long, a long, b long, least long"), "reported")
+    if cooled:  # what is said of a piece goes for every stretch it is cut from
+        own = cooled[1].select("g", "at", "piece").join(told.withColumnRenamed("g", "piece"), "piece")
+        hot = cooled[1].select("piece").distinct()
+        told = told.join(hot, told.g == hot.piece, "left_anti").union(own.select("g", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"), "least"))
+        told = written(told, "reported")
     hits = found.select("g", "doc_id", "h", "s").join(told, "g").filter("least < doc_id")
     return hits.select("doc_id", "h", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + F.lit(WINDOW - 1)).alias("b")).alias("x")).groupBy("doc_id", "h").agg(F.collect_set("x").alias("spans"))
 

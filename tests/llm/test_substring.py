@@ -70,3 +70,20 @@ def test_many_anchors_take_the_other_way(spark, monkeypatch):
     rows = odd_rows()
     monkeypatch.setattr(ss, "BROADCAST_ROWS", 0)
     assert result(ss.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_hot_anchors_are_cut(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = ["p%d" % i for i in range(120)]
+    rows = odd_rows()
+    for i in range(200):  # one passage, its ends in other words each time
+        rows.append((1000 + i, " ".join(["l%d" % rng.randrange(10**6) for _ in range(60)] + passage[rng.randrange(5) : 120 - rng.randrange(5)] + ["r%d" % rng.randrange(10**6) for _ in range(60)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ss, "HOT", 20)
+    sizes = []
+    plain = ss._cooled
+    monkeypatch.setattr(ss, "_cooled", lambda forms: sizes.append((forms, found := plain(forms))) or found)
+    assert result(ss.dedup(df)) == brute(rows)
+    (forms, (cut, _)), = sizes
+    largest = lambda d: d.groupBy("k").count().agg({"count": "max"}).first()[0]
+    assert largest(forms) > 150 and largest(cut) < 40
