@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.commands import Parameters, command
@@ -98,8 +98,36 @@ def viewport(view_x: float, view_y: float, view_w: float, view_h: float, scale:
     return x0 * map_scale, y0 * map_scale, max(0.0, x1 - x0) * map_scale, max(0.0, y1 - y0) * map_scale
 
 
+def zoom_label(scale: float, first: float) -> str:
+    """The scale as a percentage of the one that an image was opened with."""
+    return f"{scale / first * 100:.0f}%" if first else "100%"
+
+
+def short(count: Column) -> Column:
+    """A count as text, thousands and millions with a tenth at most."""
+
+    def scaled(unit: int, suffix: str) -> Column:
+        tenths = F.floor((count * 10 + unit // 2) / unit)
+        whole = F.floor(tenths / 10).cast("string")
+        return F.concat(whole, F.when(tenths % 10 == 0, "").otherwise(F.concat(F.lit("."), (tenths % 10).cast("string"))), F.lit(suffix))
+
+    return F.when(count >= 1_000_000, scaled(1_000_000, "M")).when(count >= 1000, scaled(1000, "K")).otherwise(count.cast("string"))
+
+
 def bars(hist: DataFrame, height: float) -> DataFrame:
     """A histogram with the height of each bar and a short label of its count."""
     top = hist.groupBy("image_id").agg(F.max("count").alias("__top"))
-    label = F.when(F.col("count") >= 1_000_000, F.format_string("%.1fM", F.col("count") / 1e6)).when(F.col("count") >= 1000, F.format_string("%.1fK", F.col("count") / 1e3)).otherwise(F.col("count").cast("string"))
-    return hist.join(top, "image_id").select("image_id", "v", "count", (F.col("count") / F.col("__top") * height).alias("height"), label.alias("label"))
+    return hist.join(top, "image_id").select("image_id", "v", "count", (F.col("count") / F.col("__top") * height).alias("height"), short(F.col("count")).alias("label"))
+
+
+def value_ticks(n: int = 5) -> list[int]:
+    """Values to be written along a histogram, evenly spread from 0 to 255."""
+    return [round(255 * k / (n - 1)) for k in range(n)]
+
+
+def count_ticks(hist: DataFrame, n: int = 4) -> DataFrame:
+    """(image_id, tick, count, label): counts to be written beside a histogram, from the tallest bar down to 0."""
+    top = hist.groupBy("image_id").agg(F.max("count").alias("__top"))
+    each = top.select("image_id", "__top", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tick"))
+    counted = each.select("image_id", "tick", F.floor(F.col("__top") * (n - 1 - F.col("tick")) / (n - 1)).alias("count"))
+    return counted.withColumn("label", short(F.col("count")))

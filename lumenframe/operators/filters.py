@@ -3,6 +3,9 @@
 A neighbour outside the image is the nearest pixel inside.  Every operator takes two window passes, along rows and
 along columns, whatever the kernel: no pixel is multiplied by its neighbours.  Disks are sets of row runs, one for
 each dy.  Sums of integers stay integers; sums of doubles are rounded to six places before they are cut.
+
+Empty tables give empty ones, and null values count as 0.  An image has one row for each place: rows that repeat a place
+are taken for neighbours of each other in their row and column.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators.pixels import channels, columns_of, gray, rows_of, truncated
+from lumenframe.operators.pixels import channels, columns_of, gray, rows_of, solid, truncated
 
 
 def odd(size: int) -> int:
@@ -45,7 +48,7 @@ def _shifted(value: Column, by: int, w) -> Column:
 
 def convolve(df: DataFrame, kernel: dict[tuple[int, int], float], divide: bool = True) -> DataFrame:
     """Weighted sums of neighbours, divided by the weights' sum if that is neither 0 nor 1; kernel: (dy, dx) to weight."""
-    names, total = channels(df), sum(kernel.values())
+    df, names, total = solid(df), channels(df), sum(kernel.values())
     kernel = {k: w for k, w in sorted(kernel.items()) if w}
     dxs, dys = sorted({dx for _, dx in kernel}), sorted({dy for dy, _ in kernel})
     name = "__{}_{}_{}".format
@@ -74,7 +77,7 @@ def convolve(df: DataFrame, kernel: dict[tuple[int, int], float], divide: bool =
 
 def _box(df: DataFrame, shape: dict[int, int], finish) -> DataFrame:
     """Integer sums over a shape of row runs; finish(sum, value) gives the pixel."""
-    names, widths = channels(df), sorted(set(shape.values()))
+    df, names, widths = solid(df), channels(df), sorted(set(shape.values()))
     name = "__{}_{}".format
     w = rows_of()
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -132,7 +135,7 @@ def sobel_weights(size: int) -> tuple[dict[tuple[int, int], float], dict[tuple[i
 
 def sobel(df: DataFrame, size: int = 3) -> DataFrame:
     """Length of the gradient, on gray."""
-    df, c = gray(df), odd(size) // 2
+    df, c = solid(gray(df)), odd(size) // 2
     gx, gy = sobel_weights(size)
     span = range(-c, c + 1)
     across = df.select("*", *[_shifted(F.col("v"), dx, rows_of()).alias(f"__h_{dx}") for dx in span])
@@ -152,7 +155,7 @@ def sobel(df: DataFrame, size: int = 3) -> DataFrame:
 
 def differential(df: DataFrame) -> DataFrame:
     """Differences to the right and lower neighbours, on gray; the last row and column are 0."""
-    df = gray(df)
+    df = solid(gray(df))
     near = df.withColumn("__r", F.lead("v").over(rows_of())).withColumn("__d", F.lead("v").over(columns_of()))
     total = F.abs(F.col("__r") - F.col("v")) + F.abs(F.col("__d") - F.col("v"))
     edge = F.col("__r").isNull() | F.col("__d").isNull()
@@ -161,7 +164,7 @@ def differential(df: DataFrame) -> DataFrame:
 
 def _extreme(df: DataFrame, shape: dict[int, int], pick, among) -> DataFrame:
     """Greatest or least values over a shape; neighbours outside need no care, as the nearest inside is in the shape."""
-    names, widths = channels(df), sorted(set(shape.values()))
+    df, names, widths = solid(df), channels(df), sorted(set(shape.values()))
     name = "__{}_{}".format
     across = df.select("*", *[pick(c).over(rows_of().rowsBetween(-k, k)).alias(name(c, k)) for c in names for k in widths])
     if len(widths) == 1:

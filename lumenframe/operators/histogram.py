@@ -1,6 +1,11 @@
 """Histograms, their statistics, Otsu's threshold and equalisation.
 
-Counts are partially aggregated before they are shuffled; everything after works on 256 rows an image at most.
+Counts are partially aggregated before they are shuffled; everything after works on 256 rows an image at most.  Tables
+that pixels are looked up in are written first, so that pixels are not shuffled where they are small enough to broadcast.
+
+An empty table gives an empty one.  A null value is counted as a value of its own by `histogram`, belongs to no bin of the
+dense one, and takes no part in statistics, thresholds and equalisation, which leave such pixels out.  A pixel that is
+there twice counts twice.
 """
 
 from __future__ import annotations
@@ -9,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.pixels import COLOR, gray, split_channels
+from lumenframe.storage import small, written
 
 
 def histogram(df: DataFrame) -> DataFrame:
@@ -28,12 +34,12 @@ def channel_histograms(df: DataFrame) -> DataFrame:
     return split_channels(df).groupBy("image_id", "channel", "v").agg(F.count("*").alias("count"))
 
 
-def statistics(df: DataFrame) -> DataFrame:
+def statistics(df: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Per image: mean and population deviation, median, mode, least, greatest and range of values, and the tallest bin.
 
-    The median is the first value whose cumulated count reaches half the pixels, rounded down; an empty table gives
-    nulls in one row of its own only where an image exists, that is none."""
-    h = histogram(df)
+    The median is the first value whose cumulated count reaches half the pixels, rounded down.  images: (image_id) of
+    images that are to have a row even if they have no pixels; all of it is null then."""
+    h = histogram(df).filter("v is not null")
     up = Window.partitionBy("image_id").orderBy("v")
     whole = Window.partitionBy("image_id")
     h = h.withColumn("cum", F.sum("count").over(up)).withColumn("n", F.sum("count").over(whole))
@@ -41,17 +47,18 @@ def statistics(df: DataFrame) -> DataFrame:
     reached = F.when(F.expr("n div 2") == 0, F.lit(0)).when(F.col("cum") >= F.expr("n div 2"), F.col("v"))
     s, q = F.sum(F.col("v") * F.col("count")), F.sum(F.col("v") * F.col("v") * F.col("count"))
     n = F.sum("count")
-    return h.groupBy("image_id").agg(
+    found = h.groupBy("image_id").agg(
         (s / n).alias("mean"), F.sqrt((n * q - s * s) / (n * n)).alias("std"), F.min(reached).alias("median"),
         F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("mode"), F.min("v").alias("min"), F.max("v").alias("max"),
         (F.max("v") - F.min("v")).alias("range"), F.max("count").alias("max_count"),
     )
+    return found if images is None else images.select("image_id").distinct().join(found, "image_id", "left")
 
 
 def otsu_threshold(df: DataFrame) -> DataFrame:
     """(image_id, threshold): the first value that separates the image best, 0 if none does."""
     up, whole = Window.partitionBy("image_id").orderBy("v"), Window.partitionBy("image_id")
-    h = histogram(df)
+    h = histogram(df).filter("v is not null")
     h = h.select(
         "image_id", "v", F.sum("count").over(up).alias("wb"), F.sum(F.col("v") * F.col("count")).over(up).alias("sb"),
         F.sum("count").over(whole).alias("n"), F.sum(F.col("v") * F.col("count")).over(whole).alias("s"),
@@ -65,7 +72,7 @@ def otsu_threshold(df: DataFrame) -> DataFrame:
 
 def otsu_binarize(df: DataFrame) -> DataFrame:
     px = gray(df)
-    return px.join(otsu_threshold(px), "image_id").select("image_id", "y", "x", F.when(F.col("v") > F.col("threshold"), 255).otherwise(0).alias("v"))
+    return px.filter("v is not null").join(small(written(otsu_threshold(px), "otsu")), "image_id").select("image_id", "y", "x", F.when(F.col("v") > F.col("threshold"), 255).otherwise(0).alias("v"))
 
 
 def _remap(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,13 +87,15 @@ def _remap(counts: DataFrame, keys: list[str]) -> DataFrame:
 def equalize(df: DataFrame) -> DataFrame:
     """Histogram equalisation of a gray image; an image of one value becomes 0."""
     px = gray(df)
-    return px.join(_remap(histogram(px), ["image_id"]), ["image_id", "v"]).select("image_id", "y", "x", F.col("e").alias("v"))
+    maps = _remap(histogram(px).filter("v is not null"), ["image_id"]).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("v", "e"))).alias("__e"))
+    maps = small(written(maps, "equalized"), 2000)
+    return px.filter("v is not null").join(maps, "image_id").withColumn("e", F.element_at("__e", F.col("v"))).select("image_id", "y", "x", F.col("e").alias("v"))
 
 
 def equalize_color(df: DataFrame) -> DataFrame:
     """Blue, green and red equalised each by itself; alpha becomes 255."""
-    table = _remap(channel_histograms(df).filter("channel <> 'A'"), ["image_id", "channel"])
+    table = _remap(channel_histograms(df).filter("channel <> 'A' and v is not null"), ["image_id", "channel"])
     maps = table.groupBy("image_id").pivot("channel", ["B", "G", "R"]).agg(F.map_from_entries(F.collect_list(F.struct("v", "e"))))
-    maps = maps.select("image_id", *[F.col(c.upper()).alias(f"__{c}") for c in COLOR])
+    maps = small(written(maps.select("image_id", *[F.col(c.upper()).alias(f"__{c}") for c in COLOR]), "equalized"), 2000)
     looked = df.join(maps, "image_id")
     return looked.select("image_id", "y", "x", *[F.element_at(f"__{c}", F.col(c)).alias(c) for c in COLOR], F.lit(255).alias("a"))

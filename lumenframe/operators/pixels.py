@@ -1,6 +1,10 @@
 """Pixel tables: layout, channels, cropping, padding, scaling, and images as binary rows.
 
 A gray image is rows (image_id, y, x, v), a colour image rows (image_id, y, x, b, g, r, a); values are 0 to 255.
+
+Empty tables give empty ones.  Operators that move or recolour pixels do so row by row: a null value stays null, and a
+pixel that is there twice is there twice in the result.  Blocks and binary rows take a null value for none and for 0,
+and of a pixel that is there twice both (blocks) or one (binary rows).
 """
 
 from __future__ import annotations
@@ -23,6 +27,11 @@ def channels(df: DataFrame) -> tuple[str, ...]:
     return COLOR if is_color(df) else GRAY
 
 
+def solid(df: DataFrame) -> DataFrame:
+    """df with 0 for null values."""
+    return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in channels(df)})
+
+
 def clamp(value: Column) -> Column:
     return F.least(F.lit(255), F.greatest(F.lit(0), value)).cast("int")
 
@@ -172,7 +181,7 @@ def to_blobs(df: DataFrame) -> DataFrame:
         h, w = int(px["y"].max()) + 1, int(px["x"].max()) + 1
         out = np.zeros((h, w, count), np.uint8)
         for i, c in enumerate(names):
-            out[px["y"], px["x"], i] = px[c]
+            out[px["y"], px["x"], i] = px[c].fillna(0)
         return pd.DataFrame({"image_id": [px["image_id"].iloc[0]], "height": [h], "width": [w], "n_channels": [count], "data": [out.tobytes()]})
 
     return df.groupBy("image_id").applyInPandas(run, "image_id long, height int, width int, n_channels int, data binary")

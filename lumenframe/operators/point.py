@@ -1,4 +1,7 @@
-"""Operators on single pixels: projections that Catalyst fuses with what stands around them."""
+"""Operators on single pixels: projections that Catalyst fuses with what stands around them.
+
+An empty table gives an empty one, a null value becomes 0, and a pixel that is there twice is there twice in the result.
+"""
 
 from __future__ import annotations
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.commands import pipeline
+from lumenframe.functions import session
+from lumenframe.functions.commands import Parameters, command, pipeline
 from lumenframe.operators import cluster, filters, frequency, histogram, match, pixels, point
 from lumenframe.plans import fixtures, oracle
-from lumenframe.sources import logs
+from lumenframe.sources import images, logs
+from lumenframe.storage import fresh_path
+from lumenframe.streaming import watch
 
 
 def _on(image, op):
@@ -20,9 +23,9 @@ def _small(op):
     return lambda spark, sf_dir: op(pixels.colocated(fixtures.em(spark, sf_dir)))
 
 
-def _matched(method: str):
+def _matched(method: str, size: int = 8):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = match.match_template(fixtures.ev(spark, sf_dir), fixtures.template(spark, sf_dir), method)
+        found = match.match_template(fixtures.ev(spark, sf_dir), fixtures.template(spark, sf_dir, size), method)
         return found.withColumn("score", F.round("score", 9))
 
     return run
@@ -49,9 +52,43 @@ def _centroids(location: bool):
     return run
 
 
-def _painted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image = fixtures.rg(spark, sf_dir)
-    return cluster.kmeans(image, 4, 3, centroids=cluster.first_pixels(cluster.points(image, False), 4, False))
+def _painted(iterations: int, location: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        image = fixtures.rg(spark, sf_dir)
+        return cluster.kmeans(image, 4, iterations, location, cluster.first_pixels(cluster.points(image, location), 4, location))
+
+    return run
+
+
+def _command(image, name: str, **more):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        template = {"template": fixtures.template(spark, sf_dir)} if name in match.METHODS else {}
+        return image(spark, sf_dir).transform(command(name, Parameters(**more, **template)))
+
+    return run
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour image written as a PNG file and read back, gray."""
+    path = fresh_path(spark, "images")
+    images.save_images(fixtures.rg(spark, sf_dir), path)
+    return images.read_gray(spark, path).select("y", "x", "v")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, commas and line breaks written as CSV and read back."""
+    path = fresh_path(spark, "csv")
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    logs.export_csv(t.select(F.col("event_id").cast("string").alias("event_id"), F.concat("event_type", F.lit('",\n'), "event_type").alias("text")), path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of the event image, its pixels coming as a stream of files."""
+    path = fresh_path(spark, "stream")
+    fixtures.ev(spark, sf_dir).repartition(4).write.parquet(path)
+    pixels = spark.readStream.schema("image_id long, y int, x int, v int").parquet(path)
+    return watch.gathered(pixels, fresh_path(spark, "streamed"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +109,7 @@ def _blobs(d: DataFrame) -> DataFrame:
 
 SHARPEN = {(0, 0): 5, (-1, 0): -1, (1, 0): -1, (0, -1): -1, (0, 1): -1}
 CORNER = {(0, 0): 2, (-1, 0): 1, (0, 1): 1}
-EV, EM, RG = fixtures.ev, fixtures.em, fixtures.rg
+EV, EM, MX, RG = fixtures.ev, fixtures.em, fixtures.mx, fixtures.rg
 
 QUERIES = {
     "brightness_clamp": _on(EV, lambda d: point.brightness(d, 100)),
@@ -119,6 +156,9 @@ QUERIES = {
     "match_sad": _matched("SAD"),
     "match_ssd": _matched("SSD"),
     "match_ncc": _matched("NCC"),
+    "match_ncc_32": _matched("NCC", 32),
+    "match_sad_65": _matched("SAD", 65),
+    "match_ssd_65": _matched("SSD", 65),
     "match_score_map_sad": _score_map,
     "draw_box": _drawn,
     "fft_lowpass": _on(EM, lambda d: frequency.low_pass(d, 0.5)),
@@ -126,13 +166,32 @@ QUERIES = {
     "fft_bandstop": _on(EM, lambda d: frequency.axial_band_stop(d, 1.5, 4)),
     "fft_spectrum": _on(EM, frequency.fft_spectrum),
     "fft_phase": _on(EM, frequency.fft_phase),
-    "kmeans_rgb_3iter": _painted,
+    "fft_lowpass_padded": _on(EV, lambda d: frequency.low_pass(d, 0.2)),
+    "fft_highpass_mixed": _on(MX, lambda d: frequency.high_pass(d, 0.5)),
+    "fft_spectrum_mixed": _on(MX, frequency.fft_spectrum),
+    "fft_phase_mixed": _on(MX, frequency.fft_phase),
+    "fft_color": _on(RG, frequency.fft_color),
+    "kmeans_rgb_3iter": _painted(3),
+    "kmeans_rgb_20iter": _painted(20),
+    "kmeans_rgbxy_painted": _painted(3, True),
     "kmeans_rgb_centroids": _centroids(False),
     "kmeans_rgbxy_3iter": _centroids(True),
     "history_parse": _history,
     "log_parse": _log,
     "pipeline_gray_blur_otsu": _on(RG, lambda d: pipeline(d, "Gray", "Average", "Bin_Otsu")),
     "blob_round_trip": _on(EM, _blobs),
+    "image_files": _saved,
+    "csv_export": _exported,
+    "stream_histograms": _streamed,
+    "histogram_bars": _on(EM, lambda d: session.bars(histogram.histogram(d), 200).select("image_id", "v", "count", F.round("height", 6).alias("height"), "label")),
+    "histogram_ticks": _on(EV, lambda d: session.count_ticks(histogram.histogram(d))),
+    "command_Bright": _command(EV, "Bright", brightness=100),
+    **{f"command_{n}": _command(EV, n) for n in ("Bin", "Bin_Otsu", "Equal", "Diff", "Sobel", "Laplace", "Average", "Gaussian", "Dilation", "Erosion", "Opening", "Closing", *match.METHODS)},
+    **{f"command_{n}": _command(RG, n) for n in ("Gray", "Equal_color")},
+    "command_FFT": _command(EM, "FFT"),
+    "command_FFT_Low": _command(EM, "FFT_Low", radius_ratio=0.5),
+    "command_FFT_High": _command(EM, "FFT_High", radius_ratio=0.5),
+    "command_FFT_Band": _command(EM, "FFT_Band", low_freq_radius=1.5, magnitude_threshold=4),
 }
 
 ORACLE_SQL = oracle.build()

@@ -88,7 +88,7 @@ class ImageWriter(DataSourceWriter):
 
 
 class ImageFiles(DataSource):
-    """Sink `image_files`: options path (a folder every executor sees) and kind (png or bmp)."""
+    """Sink `image_files`: options path (a folder every executor sees) and kind (png, bmp or jpg)."""
 
     @classmethod
     def name(cls) -> str:

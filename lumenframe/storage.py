@@ -23,8 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this application has written to the shared folder so far, and tell how many tables that were.
+
+    To be called when results have been stored, as lazy results read from there."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

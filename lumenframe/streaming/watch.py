@@ -27,3 +27,9 @@ def follow(pixels: DataFrame, out: str, checkpoint: str, once: bool = True) -> S
 
     stream = pixels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
+
+
+def gathered(pixels: DataFrame, out: str) -> DataFrame:
+    """(image_id, v, count) of all that a stream has to give now, by way of a table of its batches under out."""
+    follow(pixels, f"{out}/batches", f"{out}/state").awaitTermination()
+    return pixels.sparkSession.read.parquet(f"{out}/batches").groupBy("image_id", "v").agg(F.sum("count").alias("count"))

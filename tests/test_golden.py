@@ -67,6 +67,8 @@ def test_matching(spark, image):
         r = match.match_template(image, small, m).first()
         assert (r.best_y, r.best_x) == (2, 2)
     large = table(spark, [[1] * 9] * 9)
+    with pytest.raises(ValueError):
+        match.match_template(image, small.limit(0))
     r = match.match_template(image, large).first()
     assert (r.best_y, r.best_x, r.score) == (0, 0, None)
     flat = match.match_template(table(spark, [[7] * 4] * 4), spark.createDataFrame([(0, 0, 7), (0, 1, 7)], "ty int, tx int, tv int"), "NCC").first()
@@ -120,6 +122,108 @@ def test_clusters(spark):
     assert cluster.kmeans(table(spark, IMAGE), 2, 5).columns == ["image_id", "y", "x", "v"]
 
 
+def test_plans_of_clusters_do_not_grow(spark):
+    df = spark.createDataFrame([(0, y, x, 10 + x, 20, 200 * (x > 2), 7) for y in range(3) for x in range(6)], "image_id long, y int, x int, b int, g int, r int, a int")
+    sizes = [len(cluster.kmeans(df, 3, n)._jdf.queryExecution().toString()) for n in (2, 20)]
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_spread_seeds(spark):
+    rows = [(i, y, x, *([250, 250, 250] if i == 0 and y == x == 3 else [y % 2, 0, 0]), 255) for i in range(2) for y in range(40) for x in range(40)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, b int, g int, r int, a int")
+    px = cluster.points(df, False)
+    hits = 0
+    for seed in range(6):
+        drawn = cluster.spread_pixels(px, 2, False, seed).collect()
+        assert sorted((r.image_id, r.cid) for r in drawn) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+        hits += any(r.f0 == 250 for r in drawn if r.image_id == 0)
+    assert hits == 6  # one of 1600 pixels has nearly all of the squared distance
+    assert cluster.spread_pixels(px, 5, False, 1).groupBy("image_id").count().filter("count > 3").count() == 0  # no colour twice
+    uniform = cluster.drawn_pixels(px, 3, False, 2)
+    assert uniform.count() == 6 and uniform.collect() == cluster.drawn_pixels(px, 3, False, 2).collect()
+
+
+def test_large_templates_score_as_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    px = rng.integers(0, 256, (90, 33))
+    df = table(spark, px)
+    small = spark.createDataFrame([(y, x, int(px[70 + y, 9 + x])) for y in range(6) for x in range(5)], "ty int, tx int, tv int")
+    rows = match.template_rows(small)
+    plain = {m: sorted(map(tuple, match.score_map(df, rows, m).collect())) for m in match.METHODS}
+    monkeypatch.setattr(match, "LITERALS", 0)
+    for m in match.METHODS:
+        got = sorted(map(tuple, match.score_map(df, rows, m).collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in plain[m]]
+        assert np.allclose([r[3] for r in got], [r[3] for r in plain[m]], atol=1e-9)
+        assert match.match_template(df, small, m).first()[1:3] == (70, 9)
+    x, t = rng.integers(0, 256, (70, 70)), rng.integers(0, 256, (66, 66))
+    want = np.array([[np.abs(x[y : y + 66, z : z + 66] - t).sum() for z in range(5)] for y in range(5)])
+    assert (match._apart(x, t) == want).all()
+    by_levels = sum(match._windows((x > k).astype(int), 66, 66) + int((t > k).sum()) - 2 * match._correlated((x > k).astype(int), (t > k).astype(int)) for k in range(255))
+    assert (by_levels == want).all()
+
+
+def test_chequered_templates_do_not_overflow(spark):
+    px = np.indices((40, 40)).sum(0) % 2 * 255
+    df = table(spark, px)
+    for n in (21, 32, 36):
+        part = spark.createDataFrame([(y, x, int(px[y + 1, x])) for y in range(n) for x in range(n)], "ty int, tx int, tv int")
+        r = match.match_template(df, part, "NCC").first()
+        assert (r.best_y, r.best_x) == (0, 1) and r.score == pytest.approx(1)
+
+
+def test_transforms_of_many_images(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    shapes = [(3, 5), (8, 8), (3, 5), (1, 1), (6, 2)] * 3
+    stacks = [rng.integers(0, 256, s) for s in shapes]
+    df = spark.createDataFrame([(i, y, x, int(v)) for i, p in enumerate(stacks) for (y, x), v in np.ndenumerate(p)], "image_id long, y int, x int, v int").repartition(4)
+    color = df.select("image_id", "y", "x", F.col("v").alias("b"), (255 - F.col("v")).alias("g"), F.lit(9).alias("r"), F.lit(1).alias("a"))
+
+    def padded(p, made):
+        h, w = (1 << max(0, n - 1).bit_length() for n in p.shape)
+        top, left = (h - p.shape[0]) // 2, (w - p.shape[1]) // 2
+        whole = np.zeros((h, w))
+        whole[top : top + p.shape[0], left : left + p.shape[1]] = p
+        return made(whole)[top : top + p.shape[0], left : left + p.shape[1]]
+
+    got = {(r.image_id, r.y, r.x): r.v for r in frequency.fft_spectrum(df).collect()}
+    assert got == {(i, y, x): v for i, p in enumerate(stacks) for (y, x), v in np.ndenumerate(padded(p, frequency.spectrum))}
+    got = {(r.image_id, r.y, r.x): (r.b, r.g, r.r, r.a) for r in frequency.fft_color(color, as_phase=True).collect()}
+    for i, p in enumerate(stacks):
+        b, g, r = (padded(q, frequency.phase) for q in (p, 255 - p, np.full(p.shape, 9)))
+        assert all(got[i, y, x] == (b[y, x], g[y, x], r[y, x], 255) for y, x in np.ndindex(*p.shape))
+
+
+def test_nulls_and_repeated_pixels(spark):
+    rows = [(0, 0, 0, 10), (0, 0, 1, None), (0, 1, 0, 200), (0, 1, 1, 200), (0, 1, 1, 200)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, v int")
+    s = histogram.statistics(df, spark.createDataFrame([(0,), (7,)], "image_id long")).orderBy("image_id").collect()
+    assert (s[0].mean, s[0]["max_count"], s[0].min) == (152.5, 3, 10) and s[1].image_id == 7 and s[1].mean is None
+    assert sorted((r.y, r.x, r.v) for r in histogram.otsu_binarize(df).collect()) == [(0, 0, 0), (1, 0, 255), (1, 1, 255), (1, 1, 255)]
+    assert histogram.equalize(df).count() == 4
+    assert frequency.low_pass(df, 4.0).count() == 5
+    assert cluster.kmeans(df, 2, 2).count() == 4
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from lumenframe import storage
+
+    kept = storage.written(spark.range(3), "kept")
+    assert kept.count() == 3 and storage.clear(spark) > 0 and storage.clear(spark) == 0
+    with pytest.raises(Exception):
+        kept.count()
+
+
+def test_a_shared_folder_has_to_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lumenframe import storage
+
+    cluster_session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        storage.shared_dir(cluster_session)
+
+
 def test_empty_tables(spark):
     empty = table(spark, IMAGE).limit(0)
     for op in OPERATORS.values():

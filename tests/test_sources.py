@@ -29,6 +29,35 @@ def test_files_out_and_in(spark, tmp_path):
         codecs.encode("gif", 1, 1, 1, b"x")
 
 
+def test_jpeg_files(spark, tmp_path):
+    y, x = np.mgrid[0:45, 0:70]
+    smooth = np.stack([x * 3, y * 5, 255 - x * 2, np.full(x.shape, 255)], 2).astype(np.uint8)
+    noise = np.random.default_rng(3).integers(0, 256, (19, 9, 4)).astype(np.uint8)
+    flat = np.full((3, 2, 4), 77, np.uint8)
+    for name, px, most in (("smooth", smooth, 6), ("noise", noise, 30), ("flat", flat, 2)):
+        images.save_images(color_table(spark, px), str(tmp_path / name), "jpg")
+        _, back = images.standardize(images.read_images(spark, str(tmp_path / name)))
+        got = np.zeros(px.shape, int)
+        for r in back.collect():
+            got[r.y, r.x] = (r.b, r.g, r.r, r.a)
+        assert np.abs(got[..., :3] - px[..., :3].astype(int)).mean() < most, name
+        images.save_images(color_table(spark, px).select("image_id", "y", "x", F.col("g").alias("v")), str(tmp_path / (name + "g")), "jpg")
+        gray = images.read_gray(spark, str(tmp_path / (name + "g"))).collect()
+        assert np.mean([abs(r.v - int(px[r.y, r.x, 1])) for r in gray]) < most
+
+
+def test_tiff_files(spark, tmp_path):
+    """An uncompressed gray TIFF of one strip, written by hand."""
+    import struct
+
+    px = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
+    tags = [(256, 4), (257, 3), (258, 8), (259, 1), (262, 1), (273, 8), (277, 1), (278, 3), (279, 12)]
+    body = b"".join(struct.pack("<HHII", t, 3 if t not in (273, 279) else 4, 1, v) for t, v in tags)
+    (tmp_path / "tiff").mkdir()
+    (tmp_path / "tiff" / "a.tif").write_bytes(b"II*\0" + struct.pack("<I", 20) + px.tobytes() + struct.pack("<H", len(tags)) + body + b"\0\0\0\0")
+    assert sorted((r.y, r.x, r.v) for r in images.read_gray(spark, str(tmp_path / "tiff")).collect()) == sorted((y, x, int(px[y, x])) for y in range(3) for x in range(4))
+
+
 def test_csv_keeps_quotes(spark, tmp_path):
     rows = spark.createDataFrame([('say "hi", you', "é"), ("", "b")], "a string, b string")
     logs.export_csv(rows, str(tmp_path / "csv"))
@@ -57,7 +86,7 @@ def test_every_command(spark):
     px = np.random.default_rng(4).integers(0, 256, (8, 8, 4)).astype(np.uint8)
     df = color_table(spark, px)
     small = pixels.crop(pixels.gray(df), 2, 2, 3, 3)
-    p = commands.Parameters(iterations=2, template=small)
+    p = commands.Parameters(template=small)
     assert len(commands.COMMANDS) == 24
     for name in commands.COMMANDS:
         assert df.transform(commands.command(name, p)).count() == 64, name
@@ -65,6 +94,11 @@ def test_every_command(spark):
         commands.command("Nothing")
     bars = session.bars(commands.histogram.histogram(df), 100).collect()
     assert max(r.height for r in bars) == 100
+    assert session.value_ticks() == [0, 64, 128, 191, 255]
+    counts = spark.createDataFrame([(0, 3, c) for c in (7, 999, 1000, 1049, 1050, 1_250_000)], "image_id long, v int, count long")
+    assert [r.label for r in counts.select(session.short(F.col("count")).alias("label")).collect()] == ["7", "999", "1K", "1K", "1.1K", "1.3M"]
+    assert [(r["count"], r.label) for r in session.count_ticks(counts).orderBy("tick").collect()] == [(1_250_000, "1.3M"), (833_333, "833.3K"), (416_666, "416.7K"), (0, "0")]
+    assert session.zoom_label(0.75, 0.5) == "150%" and session.zoom_label(2, 0) == "100%"
 
 
 def test_stream_of_pixels(spark, tmp_path):
