@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,42 @@ class Union:
         return True
 
 
+class Linked:
+    """Links among candidates, bucket by bucket: no pair is tested twice, and none that is connected already.
+
+    hopeful(i, among) gives those of `among` that may be like i, and like(i, j) decides."""
+
+    def __init__(self, names: list[int]):
+        self.names, self.root, self.unlike, self.links = names, np.arange(len(names)), set(), []
+
+    def hopeful(self, i: int, among: np.ndarray) -> np.ndarray:
+        return among
+
+    def like(self, i: int, j: int) -> bool:
+        raise NotImplementedError
+
+    def bucket(self, rows: np.ndarray) -> None:
+        """Find links that connect what all links among the rows connect.
+
+        A row is compared with one of each group first, and then, where groups are left apart, with the others."""
+        heads = [int(rows[0])]
+        for n in range(1, len(rows)):
+            i = int(rows[n])
+            for among in (np.array(heads), rows[:n]):
+                for j in self.hopeful(i, among[self.root[among] != self.root[i]]).tolist():
+                    pair = (min(i, j), max(i, j))
+                    if self.root[j] == self.root[i] or pair in self.unlike:
+                        continue
+                    if self.like(i, j):
+                        self.links.append((self.names[i], self.names[j]))
+                        self.root[self.root == max(self.root[i], self.root[j])] = min(self.root[i], self.root[j])
+                    else:
+                        self.unlike.add(pair)
+                if len({int(self.root[h]) for h in heads}) == 1 and self.root[i] == self.root[heads[0]]:
+                    break
+            heads = sorted({int(self.root[h]): h for h in (i, *heads[::-1])}.values())
+
+
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition as (member, root) of its own components."""
     union = Union()

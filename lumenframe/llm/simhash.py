@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -227,22 +226,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return prints.join(classes(prints), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's rows of one document per group: that with the smallest id, and of repeated rows one.
-
-    In a group whose rows all lack an id, one of those with the least fingerprint stays."""
-    prints = written(fingerprints(df, key, text), "simhash")
-    chosen = prints.join(classes(prints), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("root").agg(F.min(F.struct(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id"))).alias("c")).select("c.*")
-
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint((t or "").encode()) for t in texts], dtype="uint64").astype("int64")
-
-    marked = df.withColumn("__print", F.pandas_udf(run, "long")(F.col(text)))
-    mine = marked.join(chosen, (F.col("__print") == F.col("__fp")) & F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    return mine.dropDuplicates([key, "__print"]).drop("__print")
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
