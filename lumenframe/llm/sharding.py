@@ -6,9 +6,10 @@ goes on clockwise to the next point whose shard has room.  Capacities add up to
 most, so the counts of the shards do too (the law `rows`).
 
 Only counts of ring cells reach the driver, at most `CELLS + shards * vnodes` of them whatever the input; the table
-of placements that is broadcast back is bounded likewise.  Ranks are taken inside a cell, so no task gathers more than
-a cell.  Nulls in the id or the text, equal texts and empty tables need no care; rows that agree in id and text
-are interchangeable and take neighbouring slots of the ring.
+of placements that is broadcast back is bounded likewise.  Ranks are taken inside a cell.  A cell of more than `hot_rows` rows, as many
+rows of one id make it, or many of one text without an id, is cut into STRANDS strands, by a hash of the rows' places in the table, which enter one after
+another; so no task gathers more than a strand.  Nulls in the id or the text, equal texts and empty tables need no care;
+rows that agree in id and text are interchangeable.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import read, written
 
-SHARDS, VNODES, CELLS = 24, 128, 1 << 14
+SHARDS, VNODES, CELLS, STRANDS, HOT_ROWS = 24, 128, 1 << 14, 64, 1_000_000
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -62,7 +63,7 @@ def _cell(point: Column) -> Column:
     return (F.shiftright(point, 50) + F.lit(CELLS // 2)).cast("int")
 
 
-def assign(df: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(df: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for every row of df."""
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -71,6 +72,7 @@ def assign(df: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str =
         (F.octet_length(body) + F.lit(8)).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.xxhash64(F.lit("row"), F.col(key), F.when(F.col(key).isNull(), body)).alias("p"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(STRANDS)).cast("int").alias("s"),
     )
     narrow = written(narrow, "shard-rows")
 
@@ -93,23 +95,30 @@ def assign(df: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str =
     # in ring order the cells after the last point come before the others of arc 0
     wraps = (points[-1] >> 50) + CELLS // 2
     counted = arced.groupBy("arc", "c").count().collect()
-    by_arc: dict[int, list[tuple[int, int]]] = {}
-    for r in counted:
-        by_arc.setdefault(r["arc"], []).append((r["c"], r["count"]))
-    total = sum(r["count"] for r in counted)
+    hot = [(r["arc"], r["c"]) for r in counted if r["count"] > hot_rows]
+    cut = spark.createDataFrame([(a, c, True) for a, c in hot], "arc int, c int, hot boolean")
+    arced = arced.join(F.broadcast(cut), ["arc", "c"], "left").withColumn("s", F.when(F.col("hot"), F.col("s")).otherwise(0)).drop("hot")
+    if hot:
+        parts = arced.join(F.broadcast(cut), ["arc", "c"], "left_semi").groupBy("arc", "c", "s").count().collect()
+        counted = [(r["arc"], r["c"], 0, r["count"]) for r in counted if (r["arc"], r["c"]) not in set(hot)] + [tuple(r) for r in parts]
+    else:
+        counted = [(r["arc"], r["c"], 0, r["count"]) for r in counted]
+    by_arc: dict[int, list[tuple[int, int, int]]] = {}
+    for arc, c, strand, n in counted:
+        by_arc.setdefault(arc, []).append((c, strand, n))
+    total = sum(r[3] for r in counted)
     room = [total // shards + (s < total % shards) for s in range(shards)]
-    runs = place([sum(n for _, n in by_arc.get(a, [])) for a in range(len(points))], [s for _, s in nodes], room)
+    runs = place([sum(n for _, _, n in by_arc.get(a, [])) for a in range(len(points))], [s for _, s in nodes], room)
     placed = []
     for arc, own in by_arc.items():
         first = 0
-        for c, n in sorted(own, key=lambda x: (arc == 0 and x[0] < wraps, x[0])):
-            cut = [r for r in runs[arc] if r[0] < first + n and r[1] > first]
-            placed.append((arc, c, first, cut))
+        for c, strand, n in sorted(own, key=lambda x: (arc == 0 and x[0] < wraps, x)):
+            placed.append((arc, c, strand, first, [r for r in runs[arc] if r[0] < first + n and r[1] > first]))
             first += n
-    plan = spark.createDataFrame(placed, "arc int, c int, first long, runs array<struct<a:long,b:long,shard:int,slot:long>>")
+    plan = spark.createDataFrame(placed, "arc int, c int, s int, first long, runs array<struct<a:long,b:long,shard:int,slot:long>>")
 
-    ranked = arced.withColumn("k", F.row_number().over(Window.partitionBy("arc", "c").orderBy("p", key, "size", "text_crc32")) - 1)
-    joined = ranked.join(F.broadcast(plan), ["arc", "c"]).withColumn("rank", F.col("first") + F.col("k"))
+    ranked = arced.withColumn("k", F.row_number().over(Window.partitionBy("arc", "c", "s").orderBy("p", key, "size", "text_crc32")) - 1)
+    joined = ranked.join(F.broadcast(plan), ["arc", "c", "s"]).withColumn("rank", F.col("first") + F.col("k"))
     run = F.filter("runs", lambda r: (F.col("rank") >= r["a"]) & (F.col("rank") < r["b"]))[0]
     return joined.withColumn("run", run).select(
         key, "size", "text_crc32", F.lit("rows").alias("law"), F.col("run.shard").alias("shard"),
