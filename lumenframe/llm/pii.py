@@ -10,8 +10,8 @@ pattern finds, met by a pattern of high confidence, become identifiers of its ki
 patterns, until none is new.  An occurrence is reported where both its identifier and a pattern beside it are accepted,
 unless it overlaps a base span.
 
-Only contexts of identifier-like strings are counted, and of these only such as meet MIN_SUPPORT different ones; their
-table is broadcast if it has BROADCAST_ROWS rows or fewer and joined by a shuffle else.  Texts are never shuffled.
+Only contexts of identifier-like strings are counted, and of these only such as meet MIN_SUPPORT different ones.  Tables
+of contexts, patterns and identifiers are broadcast if they have BROADCAST_ROWS rows or fewer and joined by a shuffle else.  Texts are never shuffled.
 
 A null text is an empty one.  Work is linear in the text: runs are entered at their start only, and contexts are taken
 from the pieces between matches, so a string right beside another one has no context on that side.  Rows are told apart
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import BLANK, let, read, written
+from lumenframe.llm.common import BLANK, let, read, small, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -178,7 +178,7 @@ def bootstrap(met: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = written(tied.select("c", "m", "s.kind", "k"), "pii-edges")
     sizes = edges.groupBy("c").agg(F.sum("k").alias("all"))
     wide = sizes.join(counts, _words(F.col("c")) == F.col("w"), "left").select("c", F.greatest(F.coalesce("n", F.lit(0)), "all").alias("n"))
-    graph = written(edges.join(wide, "c"), "pii-graph")
+    graph = written(edges.join(small(written(wide, "pii-wide"), BROADCAST_ROWS), "c"), "pii-graph")
     known = written(graph.filter("kind is not null").groupBy("m").agg(F.min("kind").alias("kind")), "pii-known")
     patterns = spark.createDataFrame([], "c string, kind string, score double")
     while True:
@@ -188,7 +188,7 @@ def bootstrap(met: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         best = scored.filter(F.col("score") >= MIN_SCORE).groupBy("c").agg(F.max(F.struct("score", "kind")).alias("s"))
         patterns = written(best.select("c", "s.kind", "s.score"), "pii-patterns")
         # an identifier's kind is that of the best pattern that meets it
-        fresh = graph.filter("kind is null").select("c", "m").join(patterns, "c").groupBy("m").agg(F.max(F.struct("score", "kind")).alias("s")).select("m", "s.kind")
+        fresh = graph.filter("kind is null").select("c", "m").join(small(patterns, BROADCAST_ROWS), "c").groupBy("m").agg(F.max(F.struct("score", "kind")).alias("s")).select("m", "s.kind")
         fresh = written(fresh.join(known, "m", "left_anti"), "pii-fresh")
         if fresh.isEmpty():
             return patterns, known
@@ -211,9 +211,9 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     tied = each.filter("c is not null")
     wanted = written(tied.groupBy("c").agg(F.countDistinct("m").alias("f")).filter(F.col("f") >= MIN_SUPPORT).select("c"), "pii-contexts")
     counts = written(occurrences(df, wanted.select(_words(F.col("c")).alias("w")).distinct(), text), "pii-counts")
-    patterns, known = bootstrap(tied.join(wanted, "c", "left_semi").select("kind", "m", "c"), counts)
+    patterns, known = bootstrap(tied.join(small(wanted, BROADCAST_ROWS), "c", "left_semi").select("kind", "m", "c"), counts)
     named = known.withColumnRenamed("kind", "of")
-    added = tied.filter("kind is null").join(patterns.select("c"), "c", "left_semi").join(named, "m").select("doc_id", "h", F.col("of").alias("kind"), "a", "b", F.lit(False).alias("base"))
+    added = tied.filter("kind is null").join(small(patterns.select("c"), BROADCAST_ROWS), "c", "left_semi").join(small(named, BROADCAST_ROWS), "m").select("doc_id", "h", F.col("of").alias("kind"), "a", "b", F.lit(False).alias("base"))
     seeds = scanned.select("doc_id", "h", F.explode("met").alias("x")).filter("x.kind is not null").select("doc_id", "h", "x.kind", "x.a", "x.b", F.lit(True).alias("base"))
     more = _free(added.union(seeds).distinct()).groupBy("doc_id", "h").agg(F.collect_set(F.struct("kind", "a", "b")).alias("found"))
     own = F.transform(F.filter("met", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["a"].alias("a"), x["b"].alias("b")))
