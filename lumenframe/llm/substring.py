@@ -38,7 +38,7 @@ from lumenframe.llm.linededup import runs
 from lumenframe.llm.tokens import NOT_BLANK, groups, rolling, sliding_min, spans, text_bytes, word_hashes
 
 WINDOW, K, STRETCH = 50, 8, 48
-SHARD_WORDS, BROADCAST_ROWS, HOT = 300_000, 4_000_000, 500
+SHARD_WORDS, BROADCAST_ROWS, HOT = 300_000, 4_000_000, 200
 
 
 # --- index
