@@ -89,6 +89,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         _tables.extend([_powers(_BASE, 2 * _PIECE), _powers(pow(_BASE, -1, 1 << 64), 2 * _PIECE)])
     up, down = _tables
     fold = fold if fold is not None else _LOWER if lower else _IDENTITY
+    wide = fold.astype(np.uint64) + np.uint64(1)
     out, at = np.zeros(len(starts), np.uint64), 0
     while at < len(starts):
         s0 = int(starts[at])
@@ -96,13 +97,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         if to <= at:  # a word of more than a piece
             h, e = 0, int(ends[at])
             for p in range(s0, e, _PIECE):
-                x = fold[data[p : min(e, p + _PIECE)]].astype(np.uint64) + np.uint64(1)
+                x = wide[data[p : min(e, p + _PIECE)]]
                 h += int((x * up[: len(x)]).sum(dtype=np.uint64)) * pow(_BASE, p - s0, 1 << 64)
             out[at] = h % (1 << 64)
             at += 1
             continue
-        x = fold[data[s0 : int(ends[to - 1])]].astype(np.uint64)
-        x += np.uint64(1)
+        x = wide[data[s0 : int(ends[to - 1])]]
         x *= up[: len(x)]
         sums = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(x, out=sums[1:])
