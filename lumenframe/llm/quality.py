@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import BLANK, let, read, written
 
 #: Rows on which cost and selectivity are estimated; only the order of the rules depends on them.
-SAMPLE_ROWS, REPEATS = 1000, 20
+SAMPLE_ROWS, REPEATS = 1000, 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
