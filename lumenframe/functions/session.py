@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.commands import Parameters, command
+from lumenframe.storage import written
 
 
 class UndoRedo:
-    """Two stacks of images; a new state empties the second.  DataFrames are plans, so states cost no pixels."""
+    """Two stacks of images; a new state empties the second.  States are DataFrames, so the stacks hold no pixels."""
 
     def __init__(self):
         self.undone: list[DataFrame] = []
@@ -55,16 +56,10 @@ class Session:
         self.log: list[str] = []
 
     def apply(self, name: str, parameters: Parameters | None = None) -> DataFrame:
-        """Run a command on the current image; its plan is executed once, for the timing."""
+        """Run a command on the current image; the result is written once, and read from there by the steps that follow."""
         step = command(name, parameters)
         self.states.add(self.image)
-
-        def run() -> DataFrame:
-            out = step(self.image)
-            out.write.format("noop").mode("overwrite").save()
-            return out
-
-        self.image, ms = timed(run)
+        self.image, ms = timed(lambda: written(step(self.image), "session"))
         self.history.insert(0, f"[{self.clock():%H:%M:%S}] {name} ({ms:.2f} ms)")
         self.log.append(f"[{self.clock():%Y-%m-%d %H:%M:%S}] [INFO] {name} applied.")
         return self.image
