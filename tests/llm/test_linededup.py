@@ -165,6 +165,7 @@ def test_edges_and_large_groups(spark):
 def test_large_sides_are_joined_by_a_shuffle(spark, monkeypatch):
     docs = odd_rows()
     monkeypatch.setattr(ld, "small", lambda df: df)
+    monkeypatch.setattr(ld, "BROADCAST_LINES", 0)
     assert rows(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
