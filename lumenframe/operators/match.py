@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.pixels import columns_of, downscale, draw_box, extent, gray, rows_of
 
-LITERALS, BAND = 1024, 64
+LITERALS, BAND = 256, 64
 METHODS = ("SAD", "SSD", "NCC")
 
 
