@@ -6,8 +6,10 @@ in a document with a smaller doc_id, as the input stands.
 Every window has an anchor, the least hash of its K-word grams, so equal windows have equal anchors wherever they are.
 Anchors met in one document only are left aside; of the others the stretches of windows they anchor are collected,
 equal stretches once with their smallest doc_id, and dealt out by anchor.  Where an anchor has more than HOT different
-stretches, as at the ends of a passage that many documents share, its windows stay only if each of their grams is met
-again or in two documents; what is left of the stretches is cut out and dealt out, equal pieces once.  A shard takes
+stretches, as at the ends of a passage that many documents share, the words on either side of the anchor are put in
+order, one row a side, so that those with the most words in common are neighbours; a window stays only if it reaches no
+farther to either side than that, or if its stretch is in two documents.  What is left is cut out and dealt out, equal
+pieces once.  Rows that begin or end a range of this order stay whole.  A shard takes
 whole anchors up to SHARD_WORDS words (a larger anchor is a shard of its own) and builds a compressed FM-index of its stretches: suffix order by prefix
 doubling as deep as a window, and the Burrows-Wheeler transform in a wavelet matrix of packed bits with sampled ranks.
 Classes of suffixes are packed bits too, with a number for each class; the index of a shard takes some 3 bytes a word
@@ -38,6 +40,8 @@ from lumenframe.llm.linededup import runs
 from lumenframe.llm.tokens import NOT_BLANK, groups, rolling, sliding_min, spans, text_bytes, word_hashes
 
 WINDOW, K, STRETCH = 50, 8, 48
+#: Words of a window beside its anchor.
+REACH = WINDOW - K
 SHARD_WORDS, BROADCAST_ROWS, HOT = 300_000, 4_000_000, 200
 
 
@@ -282,33 +286,78 @@ def _grams(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield rolling(h[a:b], K)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, gram, g, p, least, most) of the grams of stretches (k, g, x, least, most); p is the gram's place in the stretch."""
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, side, words, g, at): of stretches (k, g, x), what windows can have on either side of the anchor at word `at`.
+
+    side 0 are the words before it, read backwards, and side 1 those after it, a blank after each word.  A window goes by
+    the first anchor in it, so an anchor that follows another has no more words before it than up to that one."""
+    for batch in batches:
+        rows: list[tuple] = []
+        texts = batch.column(2).to_pylist()
+        for k, g, x, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, _grams(texts), strict=True):
+            words, last = x.split(b" "), -1
+            for at in np.flatnonzero(grams.view(np.int64) == k).tolist():
+                lo = max(last + 1, at - REACH)
+                last = at
+                if lo > len(words) - WINDOW:  # no window has it first
+                    break
+                before, after = words[lo:at][::-1], words[at + K : at + WINDOW]
+                rows += [(k, side, b"".join(w + b" " for w in own), g, at) for side, own in enumerate((before, after))]
+        yield _table(rows, {"k": pa.int64(), "side": pa.int32(), "words": pa.binary(), "g": pa.int64(), "at": pa.int32()})
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, at, side, n): how many words rows of _sides, in order, begin with that another of the same anchor and side begins with.
+
+    The most are had in common with a neighbour.  What lies beyond the first and the last row is not known; these count whole."""
+    held: tuple | None = None
+    before = 0  # what the row held has in common with the one before it
     for batch in batches:
-        found = list(_grams(batch.column(2).to_pylist()))
-        take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-        grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found]) if found else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(grams.view(np.int64)), batch.column(1).take(take), pa.array(places), *(batch.column(i).take(take) for i in (3, 4))], names=["k", "gram", "g", "p", "least", "most"])
+        rows: list[tuple] = []
+        for k, side, words, g, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = words.split(b" ")[:-1]
+            if held is None:
+                same = len(own)
+            else:
+                same = _leading(held[2], own) if held[:2] == (k, side) else 0
+                rows.append((*held[3:], held[1], max(before, same)))
+            held, before = (k, side, own, g, at), same
+        yield _table(rows, _ALIKE)
+    if held:
+        yield _table([(*held[3:], held[1], len(held[2]))], _ALIKE)
+
+
+_ALIKE = {"g": pa.int64(), "at": pa.int32(), "side": pa.int32(), "n": pa.int32()}
+
+
+def _leading(a: list[bytes], b: list[bytes]) -> int:
+    """How many words both begin with."""
+    for n, (x, y) in enumerate(zip(a, b, strict=False)):
+        if x != y:
+            return n
+    return min(len(a), len(b))
+
+
+def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, at, k, piece, x): what stays of stretches (k, g, x, alone), the places of grams that are met once known."""
+    """(g, first, k, piece, x): what stays of stretches (k, g, x, twice, places); all of those that are in two documents,
+    and of others the windows that reach no farther from their anchor than another stretch goes along."""
     for batch in batches:
         rows: list[tuple] = []
-        for k, g, x, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k, g, x, twice, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = x.split(b" ")
-            bad = np.zeros(len(words) - K + 2, np.int64)
-            bad[np.array(alone or [], np.int64) + 1] = 1
-            total = np.cumsum(bad)
-            width = WINDOW - K + 1
-            good = total[width:] == total[:-width]  # windows all of whose grams are met elsewhere
+            good = np.full(len(words) - WINDOW + 1, twice)
+            for p in places or ():
+                good[p["at"] - p["l"] : max(0, min(p["at"], p["at"] + p["r"] - REACH) + 1)] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 piece = b" ".join(words[a : b + WINDOW - 1])
                 rows.append((g, a, k, xxhash.xxh3_64_intdigest(piece) - (1 << 63), piece))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.binary()) for i, c in enumerate(columns)], names=["g", "at", "k", "piece", "x"])
+        yield _table(rows, {"g": pa.int64(), "first": pa.int64(), "k": pa.int64(), "piece": pa.int64(), "x": pa.binary()})
 
 
 def _cooled(forms: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -319,11 +368,13 @@ def _cooled(forms: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         return None
     hot = small(hot)
     many = written(forms.join(hot, "k", "left_semi"), "hot-stretches")
-    met = many.select("k", "g", "x", "least", "most").mapInArrow(_met, "k long, gram long, g long, p int, least long, most long")
-    sums = [F.min("least").alias("l"), F.max("most").alias("m"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("p").alias("p")]
-    alone = met.groupBy("k", "gram").agg(*sums).filter("n = 1 and l = m")
-    places = alone.groupBy("g").agg(F.collect_set("p").alias("alone"))
-    pieces = written(many.select("k", "g", "x").join(places, "g", "left").select("k", "g", "x", "alone").mapInArrow(_pieces, "g long, at long, k long, piece long, x binary"), "pieces")
+    sides = written(many.select("k", "g", "x").mapInArrow(_sides, "k long, side int, words binary, g long, at int"), "hot-sides")
+    order = ["k", "side", "words", "g", "at"]  # a range may begin anywhere, so no anchor has to be in one task
+    alike = sides.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_alike, "g long, at int, side int, n int")
+    reach = alike.groupBy("g", "at").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
+    places = reach.groupBy("g").agg(F.collect_list(F.struct("at", "l", "r")).alias("places"))
+    rows = many.withColumn("twice", F.col("least") < F.col("most")).join(places, "g", "left").select("k", "g", "x", "twice", "places")
+    pieces = written(rows.mapInArrow(_pieces, "g long, first long, k long, piece long, x binary"), "pieces")
     cut = pieces.select("g", "k", "piece", "x").join(many.select("g", "least"), "g").groupBy("k", "piece").agg(F.min("least").alias("least"), F.first("x").alias("x"))
     rest = forms.join(hot, "k", "left_anti").select("k", "g", "least", "x")
     return rest.union(cut.select("k", F.col("piece").alias("g"), "least", "x")), pieces
@@ -349,9 +400,9 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     dealt = indexed.repartition(F.col("k")).sortWithinPartitions("k", "g")
     told = written(dealt.mapInArrow(_reported, "g long, a long, b long, least long"), "reported")
     if cooled:  # what is said of a piece goes for every stretch it is cut from
-        own = cooled[1].select("g", "at", "piece").join(told.withColumnRenamed("g", "piece"), "piece")
+        own = cooled[1].select("g", "first", "piece").join(told.withColumnRenamed("g", "piece"), "piece")
         hot = cooled[1].select("piece").distinct()
-        told = told.join(hot, told.g == hot.piece, "left_anti").union(own.select("g", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"), "least"))
+        told = told.join(hot, told.g == hot.piece, "left_anti").union(own.select("g", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"), "least"))
         told = written(told, "reported")
     hits = found.select("g", "doc_id", "h", "s").join(told, "g").filter("least < doc_id")
     return hits.select("doc_id", "h", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + F.lit(WINDOW - 1)).alias("b")).alias("x")).groupBy("doc_id", "h").agg(F.collect_set("x").alias("spans"))

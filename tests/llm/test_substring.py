@@ -87,3 +87,46 @@ def test_hot_anchors_are_cut(spark, monkeypatch):
     (forms, (cut, _)), = sizes
     largest = lambda d: d.groupBy("k").count().agg({"count": "max"}).first()[0]
     assert largest(forms) > 150 and largest(cut) < 40
+
+
+def common_passage(n):
+    """Documents that share a passage, in other words before and after it, and some that repeat the anchor or share less."""
+    rng = random.Random(11)
+    passage = ["p%d" % i for i in range(120)]
+    rows = [(i, " ".join(["l%d" % rng.randrange(10**6) for _ in range(60)] + passage[rng.randrange(40) : 120 - rng.randrange(40)] + ["r%d" % rng.randrange(10**6) for _ in range(60)])) for i in range(n)]
+    for i in range(60):  # the same words again and again, and words with bytes that sort before the blank
+        rows.append((2000 + i, " ".join((passage[30:42] * 9)[rng.randrange(12) :] + ["e\x01"] * (i % 3) + passage[20:100])))
+        rows.append((3000 + i, " ".join(["e"] * (i % 4) + passage[10 + i % 7 : 75 - i % 5] + ["p75\x01", "p76"][: i % 3] + passage[76:120])))
+    return rows
+
+
+def test_hot_anchors_take_few_rows(spark, monkeypatch):
+    """The grams of each stretch, a row each, would be dozens of rows a stretch."""
+    frame = type(spark.range(0))
+    made, plain = {}, frame.mapInArrow
+
+    def counting(self, f, schema):
+        n = made.setdefault(f.__name__ + schema[:12], spark.sparkContext.accumulator(0))
+
+        def run(batches):
+            for batch in f(batches):
+                n.add(len(batch))
+                yield batch
+
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(ss, "HOT", 20)
+    monkeypatch.setattr(frame, "mapInArrow", counting)
+    rows = common_passage(200)
+    assert result(ss.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert max(n.value for n in made.values()) < 20 * len(rows), made
+
+
+def test_ends_of_ranges_stay_whole(spark, monkeypatch):
+    rows = odd_rows() + common_passage(60)
+    monkeypatch.setattr(ss, "HOT", 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert result(ss.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
