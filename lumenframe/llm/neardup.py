@@ -92,7 +92,7 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same, hit = np.flatnonzero(k[1:] == k[:-1]), np.zeros(len(k), bool)
         hit[same] = hit[same + 1] = True
         if hit.any():
-            p, c, take = named(k[hit], t[hit], HOT)
+            p, c, take, _ = named(k[hit], t[hit], HOT)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c), pa.array(t[hit][take])], names=["p", "c", "t"])
 
 

@@ -293,3 +293,47 @@ def test_recall_of_changed_lines(spark, share):
     print("recall of changed lines by words:", found)
     assert len(pairs) > 1500
     assert enough(found), found
+
+
+def one_bucket():
+    """Lines that agree in every bucket, as their short words do not tell there, and are like one other only."""
+    rng = random.Random(21)
+    common = ["wordword%s" % c * 2 for c in "abcdefghijkl"]
+    short = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3))
+    docs = []
+    for i in range(60):
+        own = [short() for _ in range(30)]
+        docs += [(i, " ".join([*common, *own])), (1000 + i, " ".join([*common, *own[:-1], short()]))]
+    return docs
+
+
+def connected(df):
+    """The groups of lines, by hash of the normal form."""
+    union = Union()
+    for r in ld.links(df, ld.written(ld.lines(df), "lines")).collect():
+        union.join(r.a, r.b)
+    out = {}
+    for g in union.up:
+        out.setdefault(union.find(g), set()).add(g)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.fixture
+def by_value():
+    """Workers get the module as it is patched here."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(ld)
+    yield
+    cloudpickle.unregister_pickle_by_value(ld)
+
+
+def test_lines_of_hot_buckets_lose_no_link(spark, monkeypatch, by_value):
+    docs = one_bucket()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = connected(df)
+    assert [len(x) for x in want] == [2] * 60
+    monkeypatch.setattr(ld, "HOT", 20)
+    assert connected(df) == want
+    monkeypatch.setattr(ld, "PART", 7)
+    assert connected(df) == want
