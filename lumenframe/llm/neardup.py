@@ -6,7 +6,8 @@ agree in one of BANDS bands of ROWS minima with a probability of 99.6 %, and eac
 unless connected already.  Of every connected group a row with the smallest id stays; a null id comes after all others.
 
 Bands of the same members are checked once, and bands of the same least member together; a band of more than HOT texts
-is cut into slices that have some texts in common, so no task gets it whole.  Texts are shuffled only where they have a
+is cut into slices that have some texts in common, so no task gets it whole; texts that this leaves outside of the band's
+largest group then meet all texts of the band, in tasks of two parts of it, so no link is lost.  Texts are shuffled only where they have a
 partner to be checked with, or are in rows that are repeated; which rows go is broadcast if they are few, else joined.
 
 Null and empty texts are alike, having the SimHash zero.  Texts of under five words have no shingles.  Rows equal in id
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import simhash
 from lumenframe.llm.common import fresh_name, small, written
-from lumenframe.llm.graph import Linked, Union, components
+from lumenframe.llm.graph import Linked, Union, apart, components, tasks
 from lumenframe.llm.linededup import named, runs
 from lumenframe.llm.tokens import NOT_BLANK, groups, rolling, spans, text_bytes, word_hashes
 
-SHINGLE, JACCARD, HOT = 5, 0.8, 500
+SHINGLE, JACCARD, HOT, PART = 5, 0.8, 500, 250
 BANDS, ROWS = 14, 5
 _ODD = 0xC2B2AE3D27D4EB4F
 #: Odd factors, one for each minimum.
@@ -84,7 +85,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(p, c, t) of bands that different texts share."""
+    """(p, c, t, b) of bands that different texts share; b names those cut in slices, and is null elsewhere."""
     for batch in runs(batches):
         k, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
@@ -92,8 +93,8 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same, hit = np.flatnonzero(k[1:] == k[:-1]), np.zeros(len(k), bool)
         hit[same] = hit[same + 1] = True
         if hit.any():
-            p, c, take, _ = named(k[hit], t[hit], HOT)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c), pa.array(t[hit][take])], names=["p", "c", "t"])
+            p, c, take, b = named(k[hit], t[hit], HOT)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c), pa.array(t[hit][take]), pa.array(b, mask=b == 0)], names=["p", "c", "t", "b"])
 
 
 class Checked(Linked):
@@ -130,15 +131,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
+def _verify_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links between texts (t, odd, g, root, x), in order of t, of different groups."""
+    for batch in runs(batches):
+        for rows, odd, others, root in tasks(batch):
+            checked = Checked(rows.column(2).to_pylist(), list(shingles(rows.column(4))))
+            checked.root = root
+            for i in odd.tolist():
+                checked.against(i, others)
+            if checked.links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*checked.links, strict=True)], names=["a", "b"])
+
+
 def links(df: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between text hashes that connect what the pairs of JACCARD or more connect."""
     texts = df.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), F.col(text).alias("x"))
     dealt = texts.mapInArrow(_keyed, "k long, t long").repartition(F.col("k")).sortWithinPartitions("k", "t")
-    buckets = written(dealt.mapInArrow(_partners, "p long, c long, t long").groupBy("p", "t").agg(F.collect_set("c").alias("c")), "near-buckets")
+    buckets = written(dealt.mapInArrow(_partners, "p long, c long, t long, b long").groupBy("p", "t").agg(F.collect_set("c").alias("c"), F.max("b").alias("b")), "near-buckets")
     wanted = written(buckets.select("t").distinct(), "near-wanted")
     wanted = texts.join(small(wanted), "t", "left_semi").groupBy("t").agg(F.first("x").alias("x"))
     checked = buckets.join(wanted, "t").select("p", "t", "x", "c").repartition(F.col("p")).sortWithinPartitions("p", "t")
-    return checked.mapInArrow(_verify, "a long, b long")
+    first = checked.mapInArrow(_verify, "a long, b long")
+    hot = buckets.filter("b is not null").select("b", F.col("t").alias("g")).distinct()
+    if hot.isEmpty():
+        return first
+    first = written(first, "near-links")
+    left = written(apart(hot, first, PART), "near-apart")
+    own = texts.join(small(left.select(F.col("g").alias("t")).distinct()), "t", "left_semi").groupBy("t").agg(F.first("x").alias("x"))
+    again = left.join(own.withColumnRenamed("t", "g"), "g").select("t", "odd", "g", "root", "x").repartition(F.col("t")).sortWithinPartitions("t", "odd", "g")
+    return first.union(again.mapInArrow(_verify_apart, "a long, b long"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -105,3 +105,31 @@ def test_large_groups_are_compared_once(spark):
         docs.append((i, " ".join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()] == [0]
+
+
+def test_near_copies_in_hot_bands_lose_no_link(spark, monkeypatch):
+    """Bands that pairs of near copies share with many other texts, which are no copies."""
+    import random
+
+    from lumenframe.llm import neardup
+
+    from pyspark import cloudpickle
+
+    rng = random.Random(5)
+    docs = []
+    for i in range(120):
+        own = ["w%d" % rng.randrange(10**6) for _ in range(60)]
+        docs += [(i, " ".join(own)), (1000 + i, " ".join([*own, "more"]))]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = neardup.keys
+    monkeypatch.setattr(neardup, "keys", lambda h, heads: plain(h, heads) % 3)
+    cloudpickle.register_pickle_by_value(neardup)
+    try:
+        assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(120))
+        monkeypatch.setattr(neardup, "HOT", 20)
+        assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(120))
+        monkeypatch.setattr(neardup, "PART", 50)
+        assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(120))
+    finally:
+        cloudpickle.unregister_pickle_by_value(neardup)
