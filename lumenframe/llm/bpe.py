@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import read
+from lumenframe.llm.tokens import pieces, thrifty
 
 #: The pieces of byte-level pre-tokenisation, as published with the vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,17 +187,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe", remembered: int = 1 << 16) -> DataFrame:
     """df with a struct: the ids of each text, and whether they decode to it (exact).
 
-    Encoder and decoder share a worker, and remember fewer pieces, for one task only: where other stages share the
-    executors, memory is dearer than the merges it saves."""
+    Encoder and decoder share a worker, handle a piece of a batch at a time, and remember fewer pieces, for one task
+    only: where other stages share the executors, memory is dearer than the merges it saves."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(shared.value, remembered)
-        for texts in batches:
-            ids = [codec.encode(x) for x in texts]
-            yield pd.DataFrame({"ids": ids, "exact": [codec.decode(i) == x for i, x in zip(ids, texts, strict=True)]})
+        for batch in batches:
+            for part in pieces(batch):
+                texts = part.to_pylist()
+                ids = [codec.encode(x) for x in texts]
+                exact = [codec.decode(i) == x for i, x in zip(ids, texts, strict=True)]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], names=["ids", "exact"])
 
-    made = F.pandas_udf(run, "struct<ids:array<int>,exact:boolean>")
+    made = F.arrow_udf(thrifty(run), "struct<ids:array<int>,exact:boolean>")
     return df.withColumn(out, made(F.coalesce(F.col(text), F.lit(""))))
 
 

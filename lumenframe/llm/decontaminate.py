@@ -21,16 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import read
-from lumenframe.llm.tokens import ALPHANUMERIC, groups, rolling, sliding_min, spans, text_bytes, word_hashes
+from lumenframe.llm.tokens import ALPHANUMERIC, SHARED_BYTES, groups, rolling, sliding_min, spans, text_bytes, thrifty, word_hashes
 
 WINDOW, K, BLOCK_WORDS, HELD_BYTES = 13, 5, 1_000_000, 64 << 20
 FOUND = "struct<n_words:bigint,spans:array<struct<a:bigint,b:bigint>>,items:array<string>>"
+_FOUND = pa.struct({"n_words": pa.int64(), "spans": pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()})), "items": pa.list_(pa.string())})
 
 
 def picked(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def intervals(starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
 def _found(texts: pa.Array, block: Block) -> list[dict]:
     data, bounds = text_bytes(texts)
     rows: list[dict] = []
-    for a, b in groups(bounds):
+    for a, b in groups(bounds, SHARED_BYTES):
         part, own = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         starts, ends, first = spans(part, own, ALPHANUMERIC)
         begun, size, items = block.meet(word_hashes(part, starts, ends, True), first)
@@ -166,7 +166,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     context = df.sparkSession.sparkContext
     shared = [context.broadcast(b) for b in blocks(benchmark, item, item_text, block_words)]
 
-    def met(held: list[pa.Array], block: Block | None) -> Iterator[pd.DataFrame]:
+    def met(held: list[pa.Array], block: Block | None) -> Iterator[pa.Array]:
         found: list[list[dict]] = []
         for part in shared:
             block = block or Block(*part.value)
@@ -174,19 +174,19 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
             found = [[_both(a, b) for a, b in zip(x, y, strict=True)] for x, y in zip(found, own, strict=True)] if found else own
             block = None
         for rows in found:
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+            yield pa.array(rows, _FOUND)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         only = Block(*shared[0].value) if len(shared) == 1 else None
         held: list[pa.Array] = []
         for texts in batches:
-            held.append(pa.array(texts, pa.large_string(), from_pandas=True))
+            held.append(texts)
             if only or sum(x.nbytes for x in held) >= HELD_BYTES:
                 yield from met(held, only)
                 held = []
         yield from met(held, only)
 
-    return df.withColumn(out, F.pandas_udf(run, FOUND)(F.col(text)))
+    return df.withColumn(out, F.arrow_udf(thrifty(run), FOUND)(F.col(text)))
 
 
 def hit_words(found: Column) -> Column:

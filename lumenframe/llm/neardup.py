@@ -27,7 +27,7 @@ from lumenframe.llm import simhash
 from lumenframe.llm.common import fresh_name, small, written
 from lumenframe.llm.graph import Linked, Union, apart, components, tasks
 from lumenframe.llm.linededup import named, runs
-from lumenframe.llm.tokens import NOT_BLANK, groups, rolling, spans, text_bytes, word_hashes
+from lumenframe.llm.tokens import NOT_BLANK, SHARED_BYTES, groups, rolling, spans, text_bytes, thrifty, word_hashes
 
 SHINGLE, JACCARD, HOT, PART = 5, 0.8, 500, 250
 BANDS, ROWS = 14, 5
@@ -45,7 +45,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _shingled(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes of shingles, bounds of each text's) of groups of texts."""
     data, bounds = text_bytes(texts)
-    for a, b in groups(bounds):
+    for a, b in groups(bounds, SHARED_BYTES):
         part, own = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         starts, ends, first = spans(part, own, NOT_BLANK)
         h = rolling(word_hashes(part, starts, ends, True), SHINGLE)
@@ -72,6 +72,7 @@ def keys(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return out
 
 
+@thrifty
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, t) of texts (t, x); equal ones of a batch count once."""
     for batch in batches:
@@ -84,6 +85,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(t[first + has][new], BANDS))], names=["k", "t"])
 
 
+@thrifty
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(p, c, t, b) of bands that different texts share; b names those cut in slices, and is null elsewhere."""
     for batch in runs(batches):
@@ -112,6 +114,7 @@ class Checked(Linked):
         return both >= JACCARD * (self.size[i] + self.size[j] - both) - 1e-9
 
 
+@thrifty
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of texts (p, t, x, c), whose bands c are told."""
     for batch in runs(batches):
@@ -131,6 +134,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
+@thrifty
 def _verify_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): links between texts (t, odd, g, root, x), in order of t, of different groups."""
     for batch in runs(batches):
@@ -166,6 +170,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """df's rows of one document per group: that with the smallest id, and of repeated rows one."""
     rows = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), F.col(text).alias("x"))
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(simhash._column(batch.column(2)))], names=["doc_id", "t", "fp"])

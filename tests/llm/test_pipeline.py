@@ -1,14 +1,18 @@
 import random
 import re
+import uuid
+from pathlib import Path
 
 import public_tokenizers
 import test_decontaminate
 import test_linededup
 import test_quality
 import test_simhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lumenframe.llm import bpe, decontaminate
 from lumenframe.llm.common import read, written
 from lumenframe.llm.graph import Union
 
@@ -133,3 +137,34 @@ def test_near_copies_in_hot_bands_lose_no_link(spark, monkeypatch):
         assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(120))
     finally:
         cloudpickle.unregister_pickle_by_value(neardup)
+
+
+def worker_mb(spark, made):
+    """(most, afterwards): MB of the Python workers, started for this, that make a table."""
+    context = spark.sparkContext
+    context.environment["LUMENFRAME_WORKERS"] = mark = uuid.uuid4().hex
+    try:
+        made().write.format("noop").mode("overwrite").save()
+    finally:
+        del context.environment["LUMENFRAME_WORKERS"]
+    most, after = 0, 0
+    for p in Path("/proc").iterdir():
+        try:
+            if p.name.isdigit() and mark in (p / "environ").read_bytes().decode(errors="replace"):
+                state = dict(x.split(":", 1) for x in (p / "status").read_text().splitlines())
+                most, after = max(most, int(state["VmHWM"].split()[0]) >> 10), max(after, int(state["RssAnon"].split()[0]) >> 10)
+        except OSError:
+            continue
+    return most, after
+
+
+def test_workers_hold_little_beside_a_batch(spark):
+    text = " ".join(f"w{i * i % 9973} of" for i in range(420))
+    df = spark.range(0, 10_000, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.lit(f" {text} "), F.col("id").cast("string")).alias("text"))
+    bench = spark.createDataFrame([("a", text[:300]), ("b", "short item")], "item_id string, text string")
+    for step, (most, after) in {
+        "decontamination": worker_mb(spark, lambda: decontaminate.contamination(df, bench)),
+        "encoding": worker_mb(spark, lambda: bpe.round_trip(df, public_tokenizers.path("byte_bpe_50k.json"))),
+    }.items():
+        print(step, most, after)
+        assert most < 260 and after < 120, step
